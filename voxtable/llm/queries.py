@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ngram_join, paragraphs
+from . import compression_quality, ngram_join, paragraphs, quality_rules, url_filters, warc
 
-MODULES = [ngram_join, paragraphs]
+MODULES = [compression_quality, ngram_join, url_filters, warc, paragraphs, quality_rules]
 
 
 def queries() -> dict:
