@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from . import compression_quality, ngram_join, paragraphs, quality_rules, url_filters, warc
+from . import bpe, compression_quality, fingerprints, ngram_join, packing, paragraphs, quality_rules, url_filters, warc
 
-MODULES = [compression_quality, ngram_join, url_filters, warc, paragraphs, quality_rules]
+MODULES = [
+    compression_quality,
+    fingerprints,
+    packing,
+    bpe,
+    ngram_join,
+    url_filters,
+    warc,
+    paragraphs,
+    quality_rules,
+]
 
 
 def queries() -> dict:
