@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, compression_quality, fingerprints, ngram_join, packing, paragraphs, quality_rules, url_filters, warc
+from . import bpe, compression_quality, fingerprints, html_text, ngram_join, packing, paragraphs, quality_rules, url_filters, warc
 
 MODULES = [
     compression_quality,
+    html_text,
     fingerprints,
     packing,
     bpe,
