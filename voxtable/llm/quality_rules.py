@@ -10,7 +10,7 @@ Per text everything takes time n log n and stays in its row: nothing is exploded
 
 Edge cases. Null text has no words. Empty, blank and short texts fail the base. Ties of words, lines and rows
 need no order. An empty table fits the prior only and gives no rows. Other columns and
-their names do not matter; filter() returns the columns that it got.
+their names do not matter; keep() returns the columns that it got.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spool, table, text_or_empty
-from .neardup import text_key
 
 MIN_WORDS, MAX_REPEAT, THRESHOLD, ROUNDS = 50, 0.5, 0.5, 20
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -73,16 +72,15 @@ def repeat_words(words: Column, size: int = 3) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, key and the counts that the rules look at."""
+    """The rows of docs, each a struct ``row``, with the counts that the rules look at."""
     text = F.col("text")
-    base = docs.select("doc_id", text_or_empty().alias("text"))
+    base = docs.select(F.struct(*docs.columns).alias("row"), text_or_empty().alias("text"))
     split = base.withColumn("words", words_of(text)).withColumn(
         "lines", F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     )
     size = F.length(text)
     return split.select(
-        "doc_id",
-        text_key(text).alias("key"),
+        "row",
         F.size("words").cast("long").alias("n_words"),
         without(text, BLANKS).cast("long").alias("word_chars"),
         (size - without(text, SYMBOLS)).cast("long").alias("n_symbols"),
@@ -184,12 +182,13 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[f
     return list(found["right"]), list(found["caught"]), found["prior"]
 
 
-def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, key, the counts, base_failed, p_good, kept; a row for each row."""
-    rules = votes()
-    seen = spool(measures(docs).withColumn("vote", F.array(*[v.cast("double") for v in rules])))
-    patterns = seen.groupBy("vote").agg(F.count("*").cast("double").alias("n"))
-    right, caught, prior = fit(patterns, len(rules))
+def voted(docs: DataFrame) -> DataFrame:
+    return measures(docs).withColumn("vote", F.array(*[v.cast("double") for v in votes()]))
+
+
+def verdicts(seen: DataFrame, model: tuple, min_words: int, max_repeat: float, threshold: float) -> DataFrame:
+    """voted() with base_failed, p_good and kept."""
+    right, caught, prior = model
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     p = posterior(F.col("vote"), F.array(*map(F.lit, right)), F.array(*map(F.lit, caught)), F.lit(prior))
     return (
@@ -199,14 +198,20 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_R
     )
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept. The verdicts meet the texts by key and doc_id."""
-    stay = spool(
-        judge(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    )
-    hashed = docs.withColumn("_text_key", text_key(text_or_empty()))
-    met = (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return hashed.join(stay, met, "left_semi").select(*docs.columns)
+def counted(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("vote").agg(F.count("*").cast("double").alias("n"))
+
+
+def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, threshold: float = THRESHOLD) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, the counts, vote, base_failed, p_good, kept; a row for each row."""
+    seen = spool(voted(docs.select("doc_id", "text")).withColumn("row", F.col("row.doc_id")).withColumnRenamed("row", "doc_id"))
+    return verdicts(seen, fit(counted(seen), len(votes())), min_words, max_repeat, threshold)
+
+
+def keep(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept. Texts are measured twice, for the fit and for the verdict, and never move."""
+    model = fit(counted(voted(docs.select("text"))), len(votes()))
+    return verdicts(voted(docs), model, min_words, max_repeat, threshold).where("kept").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
