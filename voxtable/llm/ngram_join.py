@@ -72,7 +72,8 @@ def join(
         near.join(classes.select(F.col("key").alias("node"), "copy_of"), "node").select("node", "component", "copy_of")
     )
     texts = docs.select(text_or_empty().alias("text"), "doc_id").withColumn("node", text_key(F.col("text")))
-    members = texts.join(wanted, (texts.node == wanted.node) & texts.doc_id.eqNullSafe(wanted.copy_of)).select(
+    # always by a shuffle, so that the plan is the same at every size
+    members = texts.join(wanted.hint("merge"), (texts.node == wanted.node) & texts.doc_id.eqNullSafe(wanted.copy_of)).select(
         wanted.node, "component", "text"
     )
     sizes = spool(wanted.groupBy("component").agg(F.count("*").alias("n")))  # from the ids alone: texts are read once
