@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import timeline_queries, value_queries
+from .registry import ORACLES, QUERIES
+
+MODULES = (timeline_queries, value_queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
