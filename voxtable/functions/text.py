@@ -70,4 +70,4 @@ def speaker_index(label: Column) -> Column:
 
 def shown(value: Column, digits: int = 6) -> Column:
     """NA for null, else a fixed number of decimals."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("NA"))
+    return F.when(value.isNull(), "NA").otherwise(F.format_string(f"%.{digits}f", value))

@@ -186,26 +186,6 @@ def grid_search(points: DataFrame, truth: Column, score: Column, a: list[float],
     return sums.select(F.array_max(rows).alias("m")).select("m.a", "m.b", "m.threshold", "m.f1")
 
 
-def similarity_summary(vectors: DataFrame, low: float = 0.4) -> DataFrame:
-    """Per session mean and deviation of the similarities of different rows, the gap between each row's two best, and
-    how many rows have no neighbour over ``low``. vectors (session, idx, v), normalised; pairs within sessions."""
-    from ..functions.vectors import dot
-
-    a = vectors.select(SESSION, F.col("idx").alias("i"), F.col("v").alias("x"))
-    b = vectors.select(SESSION, F.col("idx").alias("j"), F.col("v").alias("y"))
-    pairs = a.join(b, SESSION).where("i <> j").select(SESSION, "i", "j", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("x"), F.col("y")))).alias("s"))
-    rows = pairs.groupBy(SESSION, "i").agg(
-        F.sum("s").alias("sum"), F.sum(F.col("s") * F.col("s")).alias("squares"), F.count("*").alias("n"), F.max("s").alias("top"),
-        F.sort_array(F.collect_list("s"), asc=False).alias("all"),
-    )
-    gap = F.col("top") - F.coalesce(F.get("all", F.lit(1)), F.col("top"))
-    out = rows.withColumn("gap", gap).groupBy(SESSION).agg(
-        (F.sum("sum") / F.sum("n")).alias("mean"), F.sum("squares").alias("_q"), F.sum("n").alias("_n"), F.avg("gap").alias("gap_mean"),
-        F.percentile("gap", F.lit(0.5)).alias("gap_median"), F.sum((F.col("top") < low).cast("long")).alias("isolated"),
-    )
-    return out.withColumn("deviation", F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_n") - F.col("mean") * F.col("mean")))).drop("_q", "_n")
-
-
 def gaps(segments: DataFrame, least: float = 0.1, most: int = 5) -> DataFrame:
     """The ``most`` longest gaps over ``least`` between segments of each session."""
     w = Window.partitionBy(SESSION).orderBy("t0", "seg_idx")
