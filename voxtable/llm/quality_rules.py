@@ -62,13 +62,14 @@ def repeat_words(words: Column, size: int = 3) -> Column:
         return F.array_sort(F.filter(F.transform(ordered, twin), lambda i: i.isNotNull()))
 
     def windows(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - size),
-            lambda i: F.struct(F.xxhash64(*[F.get(w, i + j) for j in range(size)]).alias("h"), i.cast("int").alias("i")),
-        )
+        return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
+
+    def counted(hashes: Column) -> Column:
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        found = let(F.sort_array(placed), lambda o: let(repeated(o), covered))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(found)
 
-    some = let(words, lambda w: let(F.sort_array(windows(w)), lambda o: let(repeated(o), covered)))
-    return F.when(F.size(words) >= size, some).otherwise(F.lit(0))
+    return F.when(F.size(words) >= size, let(words, lambda w: let(windows(w), counted))).otherwise(F.lit(0))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -90,9 +91,9 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
         (size - without(text, "|")).cast("long").alias("n_bars"),
         (size - without(text, "!")).cast("long").alias("n_bangs"),
-        F.length(F.regexp_replace(text, "[^\\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace(text, "[^\\p{L}]+", "")).cast("long").alias("n_letters"),
-        F.size(F.filter("words", lambda w: F.length(F.translate(w, SYMBOLS, "")) < F.length(w))).cast("long").alias("n_symbol_words"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}][^\\x20\\x09-\\x0D]*")).cast("long").alias("n_symbol_words"),
         F.size(F.filter("lines", lambda x: F.rtrim(x).rlike('[.!?…:;"”»)]$'))).cast("long").alias("n_ended"),
     )
 
