@@ -397,9 +397,9 @@ def t13(spark, d):
     return s.withColumn("back", T.speaker_index(F.col("label")))
 
 
-@query("T14_shown", f"{HS}{TERMS} SELECT event_id, CASE WHEN vad IS NULL THEN 'NA' ELSE printf('%.3f', round(vad, 3)) END AS shown FROM tm")
+@query("T14_shown", f"{HS}{TERMS} SELECT event_id, CASE WHEN vad IS NULL THEN 'NA' ELSE printf('%.3f', round(vad, 3) + 0.0) END AS shown FROM tm")
 def t14(spark, d):
-    return terms(spark, d).select("event_id", T.shown(F.round("vad", 3), 3).alias("shown"))
+    return terms(spark, d).select("event_id", T.shown(F.round("vad", 3) + 0.0, 3).alias("shown"))
 
 
 @query("T16_reconstruct", f"{HW} SELECT session, string_agg(word, ' ' ORDER BY word_idx) AS text FROM words GROUP BY 1")
