@@ -99,7 +99,7 @@ def absorb_short_runs(path: np.ndarray, emit: np.ndarray, least: int) -> np.ndar
         if len(bounds) < 3 or not len(short):
             break
         a, b = bounds[short[0]], bounds[short[0] + 1]
-        sides = [path[a - 1]] * (a > 0) + [path[b]] * (b < len(path))
+        sides = [int(path[k]) for k, there in ((a - 1, a > 0), (b, b < len(path))) if there]
         path[a:b] = sides[int(np.argmax([emit[a:b, s].mean() for s in sides]))]
     return path
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..durable import settled
 from ..operators import aggregates as A
 from ..operators import decode as D
 from ..operators import folds
@@ -18,8 +19,9 @@ SESSION = "session"
 def sanitised(segments: DataFrame, durations: DataFrame, s: Settings | None = None, least: int = 1, most: int = 8) -> DataFrame:
     """Dominant speakers, reassignment of the others, merging, island smoothing, zones if wanted, and the clamp to the recording."""
     t = (s or Settings()).timeline
+    segments = settled(segments)
     kept = A.effective_speakers(A.speaker_stats(segments), t.coverage, least, most).select(SESSION, "speaker", "rank")
-    merged = W.merged_timeline(folds.reassigned(segments, kept), t.merge_gap)
+    merged = settled(W.merged_timeline(folds.reassigned(segments, kept), t.merge_gap))
     smooth = folds.smoothed_segments(merged.withColumnRenamed("run", "seg_idx"), t.longest_island, t.merge_gap)
     if t.zones:
         smooth = in_zones(smooth, W.switch_zones(_numbered(smooth), t.zone_window, t.zone_step))
@@ -47,15 +49,18 @@ def attributed(frames: DataFrame, words: DataFrame, s: Settings | None = None) -
     decoding, segments, sanitation, text."""
     s = s or Settings()
     hz = s.align.hz
+    frames, words = settled(frames), settled(words)
     scored = W.change_scores(frames).join(J.word_costs(words, frames, hz), [SESSION, "i"]).join(J.lexical_scales(words, frames, hz, 1.0, 1.0), [SESSION, "i"])
     path = D.decoded(scored, s.align).select(SESSION, "i", "path")
     with_path = frames.join(path, [SESSION, "i"])
+    with_path = settled(with_path)
     smooth = W.smoothed_islands(with_path, "path").select(*frames.columns, F.col("smoothed").alias("path"))
-    worded = D.with_word_path(smooth, words, s.align)
+    worded = settled(D.with_word_path(smooth, words, s.align))
     final = frames.join(worded, [SESSION, "i"])
     found = D.segmented(final).withColumn("speaker", F.format_string("SPEAKER_%02d", "k")).drop("k")
     durations = frames.groupBy(SESSION).agg((F.max("t") + 1 / hz).alias("duration"))
-    return J.text_by_start(sanitised(found, durations, s), words, " ").withColumnRenamed("joined", "text")
+    clean = settled(sanitised(found, durations, s))
+    return J.text_by_start(clean, words, " ").withColumnRenamed("joined", "text")
 
 
 def boundary_events(frames: DataFrame, path: str, words: DataFrame, most: int = 30, around: int = 25) -> DataFrame:
@@ -63,7 +68,7 @@ def boundary_events(frames: DataFrame, path: str, words: DataFrame, most: int =
     and the words near it; frames are keyed by their index."""
     from ..functions.vectors import argmax, entropy_normalised, margin
 
-    scored = W.change_scores(frames)
+    scored = settled(W.change_scores(frames))
     sw = W.switches(scored, path).select(SESSION, "i", F.lit("switch").alias("event_type"))
     pk = W.peaks(scored, "cp", 0.9, 10).select(SESSION, "i", F.lit("cp_peak").alias("event_type"))
     ev = W.events_with_precedence(sw, pk, most).drop("rank")
