@@ -103,17 +103,17 @@ def join(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the further members of each class: the row of the least doc_id stays. Rows that
     repeat as a whole (doc_id and text) stay once."""
-    own = docs.columns
     found = join(docs, **options)
     stay = spool(
         found.where((F.col("key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("copy_of")))
-        .groupBy(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
-        .agg(F.count("*").alias("_times"))
+        .groupBy(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id"))
+        .agg(F.count("*").alias("times"))
     )
-    hashed = docs.withColumn("_text_key", text_key(text_or_empty()))
-    left = hashed.join(stay, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = left.where("_times = 1").select(*own)
-    again = left.where("_times > 1").dropDuplicates(["_key", "_id"]).select(*own)
+    # the rows as structs, whatever their columns are called
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key(text_or_empty()).alias("text_key"))
+    left = hashed.join(stay.hint("merge"), (F.col("text_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    once = left.where("times = 1").select("row.*")
+    again = left.where("times > 1").dropDuplicates(["kept_key", "kept_id"]).select("row.*")
     return once.unionByName(again)
 
 

@@ -136,7 +136,8 @@ def repeats(
         )
     )
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("doc_key", text_key(F.col("text")))
-    holders = texts.join(by_doc, (texts.doc_key == by_doc._key) & texts.doc_id.eqNullSafe(by_doc._id))
+    # always by a shuffle, so that the plan is the same at every size
+    holders = texts.join(by_doc.hint("merge"), (texts.doc_key == by_doc._key) & texts.doc_id.eqNullSafe(by_doc._id))
     split = F.split("text", "\n", -1)
     members = holders.withColumn("all", split).select(F.explode("lines").alias("p"), "all").select(
         "p.node", "p.component", F.element_at("all", F.col("p.line") + 1).alias("text")
@@ -166,24 +167,27 @@ def repeats(
 
 def remove(docs: DataFrame, **options) -> DataFrame:
     """docs with the removed paragraphs cut out of their texts. A document left without a word goes."""
-    own = docs.columns
     gone = spool(
         repeats(docs, **options).where("removed")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"))
-        .agg(F.collect_set("line").alias("_lines"))
+        .groupBy(F.col("doc_id").alias("cut_id"), F.col("doc_key").alias("cut_key"))
+        .agg(F.collect_set("line").alias("lines"))
     )
-    hashed = docs.withColumn("_text_key", text_key(text_or_empty()))
-    joined = hashed.join(gone, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # the rows as structs, whatever their columns are called
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key(text_or_empty()).alias("text_key"))
+    met = (F.col("text_key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
+    joined = hashed.join(gone.hint("merge"), met, "left")
     stay = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.array_contains("_lines", i), None).otherwise(x)),
+        F.transform(F.split("row.text", "\n", -1), lambda x, i: F.when(F.array_contains("lines", i), None).otherwise(x)),
         lambda x: x.isNotNull(),
     )
-    cut = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    out = joined.withColumn("_cut", cut).where(F.col("_lines").isNull() | F.col("_cut").rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in own:
+    whole = F.col("lines").isNull()
+    cut = joined.withColumn("cut", F.when(whole, F.col("row.text")).otherwise(F.array_join(stay, "\n")))
+    out = cut.where(whole | F.col("cut").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("cut")}
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("_cut").cast(kind)))
-    return out.withColumn("text", F.col("_cut")).select(*own)
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("cut").cast(kind))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_paragraph_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
