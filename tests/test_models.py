@@ -162,3 +162,30 @@ def test_settings_are_checked():
     with pytest.raises(ValueError):
         AlignSettings(hz=0)
     assert ClusterSettings(target_speakers=3).normalised().min_speakers == 3
+
+
+def test_local_refinement_keeps_the_ends_of_its_window():
+    p = np.array([[0.9, 0.1], [0.1, 0.9], [0.1, 0.9], [0.9, 0.1], [0.9, 0.1]])
+    x = np.ones(5)
+    s = AlignSettings(delta=0.1)
+    assert D.refine_locally(np.zeros(5, int), p, x, x, 0, 3, (0, 0), s=s).tolist() == [0, 1, 1, 0, 0]
+    assert D.refine_locally(np.zeros(5, int), p, x, x, 1, 3, (0, 5), s=s).tolist() == [0] * 5
+
+
+def test_words_vote_for_their_frames():
+    p = np.array([[0.9, 0.1]] * 4 + [[0.2, 0.8]] * 4)
+    out = D.decode_words(np.zeros(8, int), p, np.arange(8.0), np.array([0.0, 4.0]), np.array([3.0, 6.0]))
+    assert out.tolist() == [0, 0, 0, 0, 1, 1, 1, 0]
+
+
+def test_embedders(spark):
+    def good(chunks):
+        return [c[:2] for c in chunks], [True]
+
+    def bad(chunks):
+        raise ValueError("too short")
+
+    e = D.Embedders("good", good=good, bad=bad)
+    df = spark.createDataFrame([([3.0, 4.0, 5.0],)], "x array<double>")
+    a, b, c = df.select(e.column("good", "x", 3).alias("a"), e.column("bad", "x", 3).alias("b"), e.column("other", "x", 1).alias("c")).first()
+    assert (a.v, a.valid) == ([0.6, 0.8, 0.0], True) and (b.v, b.valid) == ([0.0] * 3, False) and c.v == [1.0]

@@ -111,7 +111,7 @@ def test_short_segments_join_their_neighbours(spark):
 def test_outside_speech_is_infinite(spark):
     f = spark.createDataFrame([(1, i, i / 2, float(x)) for i, x in enumerate([0, 1, 1, 0])], "session long, i long, t double, vad double")
     out = [(r.since, r.until) for r in W.onset_distances(f, F.col("vad") > 0.5).orderBy("i").collect()]
-    assert out[1:3] == [(0.5, 1.0), (1.0, 0.5)] and math.isinf(out[0][0])
+    assert out[1:3] == [(0.0, 0.5), (0.5, 0.0)] and math.isinf(out[0][0])
 
 
 def test_empty_tables(spark):

@@ -71,3 +71,36 @@ def speaker_index(label: Column) -> Column:
 def shown(value: Column, digits: int = 6) -> Column:
     """NA for null, else a fixed number of decimals."""
     return F.when(value.isNull(), "NA").otherwise(F.format_string(f"%.{digits}f", value))
+
+
+# Endings after which a full stop is right.
+SENTENCE_ENDINGS = (
+    "です", "ます", "でした", "ました", "だ", "だった", "である", "ません", "でしょう",
+    "ですよね", "ですね", "ですよ", "だよ", "だね", "ですが", "だけど", "けれど", "かもしれません",
+)
+
+
+def broken_sentence(left: Column, right: Column) -> Column:
+    """Whether a full stop at the end of ``left`` may split a word that ``right`` goes on with: hiragana on either side and no
+    usual ending. The decision itself needs a morphological dictionary."""
+    base = F.rtrim(F.regexp_replace(F.trim(left), "。$", ""))
+    endings = "(" + "|".join(SENTENCE_ENDINGS) + ")$"
+    told = F.trim(left).rlike("。$") & base.rlike("[\\u3040-\\u309F]$") & F.trim(right).rlike("^[\\u3040-\\u309F]") & ~base.rlike(endings)
+    return F.coalesce(told, F.lit(False))
+
+
+def wrapped(text: Column, width: int = 42) -> Column:
+    """Lines of at most ``width`` characters, words whole; text with CJK characters and a width under 1 leave it as it is."""
+    import re
+    import textwrap
+
+    import pandas as pd
+
+    cjk = re.compile(f"[{CJK}]")
+
+    def run(column: pd.Series) -> pd.Series:
+        keep = {"replace_whitespace": False, "break_long_words": False, "break_on_hyphens": False}
+        return column.map(lambda t: t if t is None or width < 1 or cjk.search(t) else "\n".join(textwrap.wrap(t, width, **keep)))
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(text)

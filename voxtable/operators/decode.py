@@ -376,3 +376,71 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
     schema = "n long, ref_word string, hyp_word string, ref_speaker string, hyp_speaker string"
     return per_session(tokens, run, schema, "pos", "doc")
+
+
+def refined(frames: DataFrame, candidates: DataFrame, s: AlignSettings | None = None, scale: float = 1.0) -> DataFrame:
+    """V5: frames (session, i, t, vad, p, q, cost, path), q being local posteriors or null, with the path anew within each
+    candidate (session, n, a, b), one after the other; the speakers at the window's ends stay."""
+    s = s or AlignSettings()
+    kind = frames.schema[SESSION].dataType.simpleString()
+
+    def run(at: tuple, f: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(f):
+            return pd.DataFrame({SESSION: [], "i": [], "path": []})
+        f = f.sort_values("i")
+        p = matrix(f["p"])
+        local = p.copy()
+        for n, q in enumerate(f["q"]):
+            if q is not None:
+                local[n] = q
+        t, vad, cost, path = f["t"].to_numpy(float), f["vad"].to_numpy(float), f["cost"].to_numpy(float), f["path"].to_numpy(int)
+        for a, b in c.sort_values("n")[["a", "b"]].itertuples(index=False):
+            first, last = int(np.searchsorted(t, a, "left")), int(np.searchsorted(t, b, "right")) - 1
+            if 0 <= first <= last:
+                path = refine_locally(path, local, vad, cost, first, last, (int(path[first]), int(path[last])), scale=scale, s=s)
+        return pd.DataFrame({SESSION: at[0], "i": f["i"].to_numpy(), "path": path.astype("int32")})
+
+    left = frames.select(SESSION, "i", "t", "vad", "p", "q", "cost", "path").groupBy(SESSION)
+    return left.cogroup(candidates.select(SESSION, "n", "a", "b").groupBy(SESSION)).applyInPandas(run, f"{SESSION} {kind}, i long, path int")
+
+
+def speaker_scores(pairs: DataFrame) -> DataFrame:
+    """token_accuracy() counts (doc, ref_speaker, hyp_speaker, n) -> doc, hyp_speaker, ref_speaker, right: the best mapping."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = {(r, h): int(n) for r, h, n in zip(pdf["ref_speaker"], pdf["hyp_speaker"], pdf["n"], strict=True)}
+        mapping, right = best_speaker_mapping(counts)
+        return pd.DataFrame([(h, r, right) for h, r in sorted(mapping.items())], columns=["hyp_speaker", "mapped_to", "right"])
+
+    return per_session(pairs, run, "hyp_speaker string, mapped_to string, right long", "hyp_speaker", "doc")
+
+
+class Embedders:
+    """Embedding functions by name, each from a list of sample arrays to (vectors, valid); an unknown name gets the default."""
+
+    def __init__(self, default: str, **known: Callable):
+        self.default, self.known = default, known
+
+    def get(self, name: str) -> Callable:
+        return self.known.get(name, self.known[self.default])
+
+    def column(self, name: str, samples: str, size: int):
+        """A column of structs (v, valid) for a column of sample arrays; vectors are cut or filled to ``size`` and normalised, a
+        chunk that fails is not valid."""
+        from pyspark.sql import functions as F
+
+        embed = self.get(name)
+
+        def run(column: pd.Series) -> pd.DataFrame:
+            rows = []
+            for x in column:
+                try:
+                    v, ok = embed([np.asarray(x, float)])
+                    v = np.pad(np.asarray(v[0], float)[:size], (0, max(0, size - len(v[0]))))
+                    rows.append(((v / max(np.linalg.norm(v), 1e-8)).tolist(), bool(ok[0])))
+                except (ValueError, ArithmeticError, IndexError):
+                    rows.append(([0.0] * size, False))
+            return pd.DataFrame(rows, columns=["v", "valid"])
+
+        run.__annotations__ = {"column": pd.Series, "return": pd.DataFrame}
+        return F.pandas_udf(run, "v array<double>, valid boolean")(samples)

@@ -187,3 +187,25 @@ def clamp_to_words(segments: DataFrame, words: DataFrame) -> DataFrame:
     span = words.groupBy(SESSION).agg(F.min("t0").alias("_a"), F.max("t1").alias("_b"))
     cut = segments.join(span, SESSION).withColumns({"t0": F.greatest("t0", "_a"), "t1": F.least("t1", "_b")})
     return cut.where("t1 > t0").drop("_a", "_b")
+
+
+def chunk_means_or_nearest(chunks: DataFrame, frames: DataFrame, hz: float, value: str = "vad") -> DataFrame:
+    """As J3; a chunk without frames takes the value of the frame nearest to its centre."""
+    hit = frames_within(chunks, hz, closed=False).join(frames.select(SESSION, "i", value), [SESSION, "i"])
+    mean = hit.groupBy(SESSION, "chunk_idx").agg(F.avg(value).alias("score"))
+    every = chunks.join(mean, [SESSION, "chunk_idx"], "left")
+    lone = every.where("score is null").select(SESSION, "chunk_idx", "t0", "t1", ((F.col("t0") + F.col("t1")) / 2).alias("t"))
+    near = nearest(lone, frames.select(SESSION, "t", F.col("i").alias("idx"))).join(
+        frames.select(SESSION, F.col("i").alias("nearest"), F.col(value).alias("score")), [SESSION, "nearest"], "left"
+    )
+    return every.where("score is not null").select(SESSION, "chunk_idx", "score").unionByName(near.select(SESSION, "chunk_idx", F.coalesce("score", F.lit(0.0)).alias("score")))
+
+
+def hits_by_flag(events: DataFrame, intervals: DataFrame, flag: str, tolerance: float = 0.0) -> DataFrame:
+    """Per session how many events lie in an interval, parted by a flag into yes, no and unknown."""
+    own = inside(events, intervals, tolerance)
+    count = lambda c: F.sum(c.cast("long"))
+    f = F.col(flag)
+    return own.groupBy(SESSION).agg(
+        F.count("*").alias("hits"), count(F.coalesce(f, F.lit(False))).alias("yes"), count(F.coalesce(~f, F.lit(False))).alias("no"), count(f.isNull()).alias("unknown")
+    )

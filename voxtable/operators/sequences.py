@@ -120,13 +120,13 @@ def smoothed_islands(frames: DataFrame, label: str, longest: float = 1.0) -> Dat
 
 def onset_distances(frames: DataFrame, speech: Column) -> DataFrame:
     """``since`` the onset and ``until`` the offset of the speech run that a frame is in, in time steps summed
-    over frames; infinite outside speech."""
+    over frames, 0 at the ends; infinite outside speech."""
     w = by("i")
     step = F.coalesce(F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t"), F.lit(0.02))
     marked = run_ids(frames.withColumn("_speech", speech).withColumn("_dt", step), "_speech", "i")
     inner = Window.partitionBy(SESSION, "run").orderBy("i")
-    since = F.sum("_dt").over(so_far(inner))
-    until = F.sum("_dt").over(inner.rowsBetween(0, Window.unboundedFollowing))
+    since = F.coalesce(F.sum("_dt").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    until = F.sum("_dt").over(inner.rowsBetween(0, Window.unboundedFollowing)) - F.last("_dt").over(inner.rowsBetween(0, Window.unboundedFollowing))
     far = F.lit(float("inf"))
     return marked.withColumns(
         {"since": F.when(F.col("_speech"), since).otherwise(far), "until": F.when(F.col("_speech"), until).otherwise(far)}

@@ -260,7 +260,7 @@ def w7a(spark, d):
 
 
 @query("W9_since_onset", f"""{HF}, m AS (SELECT *, vad >= 0.35 AS sp FROM frames), r AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY i) AS run FROM (SELECT *, CAST(coalesce(lag(sp) OVER (PARTITION BY session ORDER BY i) <> sp, TRUE) AS INTEGER) AS new FROM m))
-SELECT session, i, CASE WHEN sp THEN 0.5 * row_number() OVER (PARTITION BY session, run ORDER BY i) ELSE -1 END::DOUBLE AS since, CASE WHEN sp THEN 0.5 * row_number() OVER (PARTITION BY session, run ORDER BY i DESC) ELSE -1 END::DOUBLE AS until FROM r
+SELECT session, i, CASE WHEN sp THEN 0.5 * (row_number() OVER (PARTITION BY session, run ORDER BY i) - 1) ELSE -1 END::DOUBLE AS since, CASE WHEN sp THEN 0.5 * (row_number() OVER (PARTITION BY session, run ORDER BY i DESC) - 1) ELSE -1 END::DOUBLE AS until FROM r
 WHERE session IN (SELECT session FROM frames GROUP BY 1 HAVING count(*) > 1)""")
 def w9(spark, d):
     f = W.onset_distances(S.frames(spark, d), F.col("vad") >= 0.35)

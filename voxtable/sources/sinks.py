@@ -59,3 +59,15 @@ def performance_report(metrics: DataFrame) -> DataFrame:
     """K7: (session, report) of metrics (session, rtf, coverage, speakers)."""
     line = F.format_string("RTF %.3f, coverage %.1f%%, speakers %d", "rtf", F.col("coverage") * 100, F.col("speakers").cast("int"))
     return metrics.select(SESSION, line.alias("report"))
+
+
+def interval_report(intervals: DataFrame, label: str) -> DataFrame:
+    """(session, report): the intervals of each session as the report reader expects them."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(SESSION).orderBy("t0"))
+    line = F.format_string("  %2d  %8.2f  %8.2f  %7.2f", n, F.col("t0"), F.col("t1"), F.col("t1") - F.col("t0"))
+    rows = intervals.withColumn("_line", F.struct("t0", line.alias("b")))
+    listed = F.transform(F.sort_array(F.collect_list("_line")), lambda x: x["b"])
+    head = F.format_string("=== Misclassified intervals (%s) ===\n  count : %d\n  total : %.1f sec\n", F.lit(label), F.count("*"), F.sum(F.col("t1") - F.col("t0")))
+    return rows.groupBy(SESSION).agg(F.concat(head, F.array_join(listed, "\n")).alias("report"))
