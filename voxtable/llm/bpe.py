@@ -1,40 +1,53 @@
 """BPE encoding and decoding of whole texts by tree concatenation (operator 5).
 
-A text is cut where no token can cross: before white space that follows something else, a place at which the
-byte-level pre-tokenizer always starts anew. The units between the cuts are encoded by the tokenizers library and
-remembered, most texts being made of few different ones. What the pre-tokenizer leaves unsplit beyond LEAF bytes is
-encoded by tree concatenation: its halves, their halves and so on are encoded at the same time, then pairs are
-joined upwards. At a join a window of tokens on either side is encoded anew and grows until its first
-token is the left part's and its last the right part's. A BPE sequence is the encoding of its text if and only if
-each two neighbours are the encoding of theirs, so a window that agrees on both sides makes the joined sequence exact.
+Texts whose unsplit runs stay under LEAF characters are encoded at once: by tiktoken with the ranks of the same file where
+all characters are of long-settled classes, so that both libraries split alike, else by tokenizers. A text with a
+longer run is cut before white space that follows something else, where the byte-level pre-tokenizer always starts
+anew. What it leaves unsplit beyond LEAF bytes is encoded by tree concatenation: its halves, their halves and so
+on down to LEAF bytes are encoded in one batch in parallel, then pairs are joined upwards. At a join a window of tokens on
+either side is encoded anew and grows until its first token is the left part's and its last the right
+part's. A BPE sequence is the encoding of its text if and only if each two neighbours are the encoding of theirs, so a
+window that agrees on both sides makes the joined sequence exact.
 
 Results equal ``encode(text, add_special_tokens=False)`` and ``decode(ids, skip_special_tokens=False)`` of the
-library, special tokens within texts included.
+tokenizers library, special tokens within texts included.
 
 Edge cases. Null text counts as empty and has no ids. Rows may repeat; empty tables give no rows; other columns do
-not matter. Memory: one text with its ids, and a two dictionaries of at most UNITS units a worker.
+not matter. Memory: one batch of texts with their ids, PIECES code points or one text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import table, text_or_empty
 
-LEAF, UNITS, PIECES = 4096, 200_000, 400_000
+LEAF, PIECES = 4096, 400_000
 #: White space as the pre-tokenizer sees it (Unicode's White_Space).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-BLANK = frozenset(SPACE)
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Characters other than Latin, Latin supplements and common marks, whose classes no version of Unicode has changed.
+UNSETTLED = re.compile("[^\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2027\u2030-\u205e]")
+
+
+def byte_alphabet() -> list[str]:
+    """The character for each byte in the tokenizer's vocabulary: printable Latin-1 for itself, then from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letters = {b: chr(b) for b in plain}
+    rest = [b for b in range(256) if b not in letters]
+    return [letters.get(b) or chr(256 + rest.index(b)) for b in range(256)]
 
 
 class Codec:
@@ -42,24 +55,33 @@ class Codec:
 
     _made: dict[str, Codec] = {}
 
-    def __init__(self, path: str, leaf: int = LEAF, units: int = UNITS):
-        self.path, self.leaf, self.most = path, leaf, units
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.whole = Tokenizer.from_file(path)  # the same without splitting and without special tokens
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.whole.pre_tokenizer = pre_tokenizers.Sequence([])
-        self.whole.encode_special_tokens = True
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        specials = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.specials = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
-        size = self.tokenizer.get_vocab_size()
-        self.widths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # bytes of each id
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.windows = 0
+    def __init__(self, path: str, leaf: int = LEAF):
+        self.path, self.leaf, self.windows = path, leaf, 0
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        self.specials = {t["content"]: t["id"] for t in made.get("added_tokens", [])}
+        names = sorted(self.specials, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.long = re.compile(rf"\S{{{leaf}}}|\s{{{leaf}}}")
+        self.fast = self._ranked(made)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own; made when first needed, as it takes memory."""
+        own = Tokenizer.from_file(self.path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The same without splitting and without special tokens, for texts in the byte alphabet."""
+        own = Tokenizer.from_file(self.path)
+        own.no_truncation()
+        own.no_padding()
+        own.pre_tokenizer = pre_tokenizers.Sequence([])
+        own.encode_special_tokens = True
+        return own
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -67,76 +89,56 @@ class Codec:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _ranked(self, made: dict) -> tiktoken.Encoding | None:
+        """The file as ranks, if its ids follow the order of its merges and its splits are the usual ones."""
+        vocab, merges = made["model"]["vocab"], made["model"]["merges"]
+        ids = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        usual = made["pre_tokenizer"].get("type") == "ByteLevel" and made["pre_tokenizer"].get("use_regex", True)
+        if not usual or made["pre_tokenizer"]["add_prefix_space"] or made.get("normalizer") or ids != sorted(ids):
+            return None
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in self.specials}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
+
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, little-endian unsigned 32-bit."""
-        return self.encode_all([text])[0]
+        """The ids of a text, unsigned 32-bit."""
+        if len(text) >= self.leaf and self.long.search(text):
+            return self.encode_long(text)
+        if self.fast is not None and not UNSETTLED.search(text):
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), "<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [UNIT.findall(t) for t in texts]
-        self._learn(cut)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in cut]
-
-    def _learn(self, cut: list[list[str]]) -> None:
-        """Have all units of ``cut`` in the dictionary. A full one becomes the old one, of which what is
-        met again moves over; so at most twice ``most`` units are held, beside those of one batch."""
-        wanted: set[str] = set()
-        for units in cut:
-            wanted.update(units)
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.old, self.known, new = self.known, {}, wanted
-        unseen = []
-        for u in new:
-            if (ids := self.old.get(u)) is not None:
-                self.known[u] = ids
-            else:
-                unseen.append(u)
-        alone, joined = [], []
-        for u in unseen:
-            if len(u) > self.leaf:
-                self.known[u] = self.encode_long(u).tobytes()
-            elif u[0] in BLANK and u[-1] not in BLANK and not (self.specials and self.specials.search(u)):
-                joined.append(u)
-            else:
-                alone.append(u)
-        for u, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[u] = np.array(e.ids, "<u4").tobytes()
-        self._learn_joined(joined)
-
-    def _learn_joined(self, units: list[str], at_once: int = 2000) -> None:
-        """Units that begin with white space and end otherwise are cuts to each other: many are encoded as one
-        text, whose ids are parted where their bytes come to the units' ends."""
-        groups = [units[k : k + at_once] for k in range(0, len(units), at_once)]
-        encoded = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded, strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in group])
-            reached = np.cumsum(self.widths[ids])
-            stops = np.searchsorted(reached, ends) + 1
-            if not np.array_equal(reached[stops - 1], ends):
-                raise AssertionError("a token crosses a cut")
-            data, start = ids.tobytes(), 0
-            for u, stop in zip(group, (stops * 4).tolist(), strict=True):
-                self.known[u] = data[start:stop]
-                start = stop
-
-    def encode_long(self, unit: str) -> np.ndarray:
-        """A unit that has no cut: special tokens and the pre-tokenizer's own splits first, trees for the rest."""
-        parts: list[np.ndarray] = []
-        for k, run in enumerate(self.specials.split(unit) if self.specials else [unit]):
+        return [self.encode(t) for t in texts]
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """A text with long runs: special tokens, cuts and the pre-tokenizer's own splits first, trees for the rest."""
+        parts: list[list[int]] = []
+        for k, run in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                parts.append(np.array([self.tokenizer.token_to_id(run)], "<u4"))
-            elif run:
-                for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(run):
-                    parts.append(self.tree(piece))
-        return np.concatenate(parts) if parts else np.empty(0, "<u4")
+                parts.append([self.specials[run]])
+                continue
+            short: list[str] = []
+            for unit in UNIT.findall(run):
+                if len(unit) < self.leaf:
+                    short.append(unit)
+                    continue
+                parts.append(self._short(short))
+                short = []
+                pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
+                small = iter(self._raw([p for p in pieces if len(p) <= self.leaf]))
+                parts.extend(self.tree(p) if len(p) > self.leaf else next(small) for p in pieces)
+            parts.append(self._short(short))
+        return np.array([i for p in parts for i in p], "<u4")
+
+    def _short(self, units: list[str]) -> list[int]:
+        return self.tokenizer.encode("".join(units), add_special_tokens=False).ids if units else []
 
     def _raw(self, pieces: list[str]) -> list[list[int]]:
         """BPE of pieces in the byte alphabet, nothing split."""
         return [e.ids for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def tree(self, piece: str) -> np.ndarray:
+    def tree(self, piece: str) -> list[int]:
         """BPE of one pre-token, given in the byte alphabet (one character a byte)."""
         cuts = list(range(0, len(piece), self.leaf))
         if len(cuts) > 1 and len(piece) - cuts[-1] < self.leaf // 2:
@@ -145,7 +147,7 @@ class Codec:
         level = self._raw([piece[a:b] for a, b in zip(cuts, ends, strict=True)])
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return np.array(level[0], "<u4")
+        return level[0]
 
     def join(self, left: list[int], right: list[int], width: int = 4) -> list[int]:
         """The encoding of the concatenated texts of two encodings."""
