@@ -85,6 +85,19 @@ def test_frames_decode_as_defined(seed):
     assert D.decode_frames(p, vad, t, cost, cp, lex, s=s).tolist() == frames_by_the_book(p, vad, t, cost, cp, lex, s)
 
 
+def test_sessions_decode_together_as_alone(spark):
+    from voxtable.plans import model_queries as M
+
+    scored = M.scored(spark, "/root/testdata/sf0.001").persist()
+    together = {(r.session, r.i): r.path for r in D.decoded(scored, M.ALIGN).collect()}
+    for session, pdf in scored.toPandas().groupby("session"):
+        pdf = pdf.sort_values("i")
+        col = lambda c: pdf[c].to_numpy(float)  # noqa: B023, E731
+        p = D.matrix(pdf["p"])
+        alone = D.roll_back(D.decode_frames(p, col("vad"), col("t"), col("cost"), col("cp"), col("scale"), s=M.ALIGN), p, M.ALIGN.hz, M.ALIGN)
+        assert alone.tolist() == [together[session, i] for i in pdf["i"]]
+
+
 def test_one_speaker_needs_no_decision():
     p, x = np.ones((5, 1)), np.ones(5)
     assert D.decode_frames(p, x, np.arange(5.0), x).tolist() == [0] * 5

@@ -104,28 +104,29 @@ def absorb_short_runs(path: np.ndarray, emit: np.ndarray, least: int) -> np.ndar
     return path
 
 
-def decode_frames(p: np.ndarray, vad: np.ndarray, t: np.ndarray, cost: np.ndarray, cp: np.ndarray | None = None, lexical: np.ndarray | None = None,
-                  beta: np.ndarray | None = None, ten: np.ndarray | None = None, s: AlignSettings | None = None) -> np.ndarray:
-    """V2: the speaker of each frame by the best score alpha vad + beta emission - gamma cost - switches.
+def silence_resets(vad: np.ndarray, step: np.ndarray, below: float, least: float) -> np.ndarray:
+    """Frames at which a silence has first lasted ``least`` seconds, one a silence."""
+    out, quiet, fired = np.zeros(len(vad), bool), 0.0, False
+    for f, (v, dt) in enumerate(zip(vad.tolist(), step.tolist(), strict=True)):
+        if v >= below:
+            quiet, fired = 0.0, False
+        elif f:
+            quiet += dt
+        if f and quiet >= least and not fired:
+            out[f] = fired = True
+    return out
 
-    A switch away from a speaker costs more the longer its run has lasted, shortly after its last switch
-    (hysteresis) and at uncertain frames, less at change points and sentence ends and into a speaker who is clearly likeliest. The
-    run length follows the best predecessor, so the search is no plain Viterbi. The first frame's score enters negated
-    unless ``negated_start`` is off.
-    """
-    s = s or AlignSettings()
+
+def frame_terms(p: np.ndarray, vad: np.ndarray, t: np.ndarray, cost: np.ndarray, cp: np.ndarray | None, lexical: np.ndarray | None,
+                beta: np.ndarray | None, ten: np.ndarray | None, s: AlignSettings) -> dict[str, np.ndarray]:
+    """What the frame decoder needs of a session and what does not depend on the path."""
     n, k = p.shape
-    if not n:
-        return np.empty(0, np.int64)
     emit = np.log(np.clip(p, 1e-12, 1.0)) if s.log_emissions else p
     beta = np.full(n, s.beta) if beta is None else beta
     step = np.diff(t, prepend=t[0]) if n > 1 else np.array([0.02])
     if n > 1:
         step[0] = step[1]
-    local = s.alpha * vad[:, None] + beta[:, None] * emit - s.gamma * cost[:, None]
     best, gap, entropy = certainty(normalised(p))
-
-    # what does not depend on the path, for all frames at once
     scale = np.full(n, s.delta)
     if ten is not None and s.ten_weight:
         scale *= np.clip(1 + s.ten_weight * ten, 0.2, 3.0)
@@ -139,27 +140,66 @@ def decode_frames(p: np.ndarray, vad: np.ndarray, t: np.ndarray, cost: np.ndarra
     if s.post_k > 0:
         sure = np.clip((gap - s.post_margin) / max(1e-6, 1 - s.post_margin), 0, 1)
         into[np.arange(n), best] = np.maximum(0, 1 - s.post_k * sure)
-    reset = np.zeros(n, bool)
-    if s.silence_reset and s.silence_reset_sec > 0:
-        quiet, fired = 0.0, False
-        for f in range(1, n):
-            quiet = quiet + step[f] if vad[f] < s.silence_vad else 0.0
-            fired = fired and vad[f] < s.silence_vad
-            reset[f] = quiet >= s.silence_reset_sec and not fired
-            fired |= reset[f]
+    use_reset = s.silence_reset and s.silence_reset_sec > 0
+    return {
+        "local": s.alpha * vad[:, None] + beta[:, None] * emit - s.gamma * cost[:, None],
+        "step": step,
+        "scale": scale,
+        "into": into,
+        "reset": silence_resets(vad, step, s.silence_vad, s.silence_reset_sec) if use_reset else np.zeros(n, bool),
+    }
+
+
+def decode_many(terms: list[dict[str, np.ndarray]], s: AlignSettings) -> list[np.ndarray]:
+    """The frame decoder on many sessions of as many speakers, one step of time for all of them at once."""
+    order = sorted(range(len(terms)), key=lambda m: -len(terms[m]["step"]))
+    sizes = np.array([len(terms[m]["step"]) for m in order])
+    width, k = int(sizes[0]), terms[0]["local"].shape[1]
+
+    def stacked(name: str) -> np.ndarray:
+        """By time, then session; the longer sessions come first, so that those still running are a prefix."""
+        first = terms[0][name]
+        out = np.zeros((width, len(order), *first.shape[1:]), first.dtype)
+        for n, m in enumerate(order):
+            out[: sizes[n], n] = terms[m][name]
+        return out
 
+    local, step, scale, into, reset = map(stacked, ("local", "step", "scale", "into", "reset"))
+    running = np.searchsorted(-sizes, -np.arange(width), "left")
+    back = np.zeros((width, len(order), k), np.int8 if k < 128 else np.int32)
     score = -local[0] if s.negated_start else local[0].copy()
-    lasted, back, same = np.full(k, step[0]), np.zeros((n, k), np.int64), np.eye(k, dtype=bool)
-    for f in range(1, n):
-        before = np.zeros(k) if reset[f] else lasted
-        leave = scale[f] * (1 + s.run_scale * np.clip(before - s.run_threshold, 0, s.run_cap))
+    lasted = np.repeat(step[0][:, None], k, axis=1)
+    other, own = 1.0 - np.eye(k), np.arange(k)
+    for f in range(1, width):
+        n = running[f]
+        before = np.where(reset[f, :n, None], 0.0, lasted[:n])
+        leave = scale[f, :n, None] * (1 + s.run_scale * np.clip(before - s.run_threshold, 0, s.run_cap))
         if s.hysteresis_mult > 1:
             leave = leave * np.where(before < s.hysteresis_sec, s.hysteresis_mult, 1.0)
-        reach = score[:, None] - np.where(same, 0.0, leave[:, None] * into[f][None, :])
-        back[f] = reach.argmax(axis=0)
-        score = reach[back[f], np.arange(k)] + local[f]
-        lasted = np.where(back[f] == np.arange(k), before, 0.0) + step[f]
-    return traced(back, int(score.argmax()))
+        reach = score[:n, :, None] - other * (leave[:, :, None] * into[f, :n, None, :])
+        best = reach.argmax(axis=1)
+        back[f, :n] = best
+        score[:n] = np.take_along_axis(reach, best[:, None, :], axis=1)[:, 0] + local[f, :n]
+        lasted[:n] = np.where(best == own, before, 0.0) + step[f, :n, None]
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(terms)
+    for n, m in enumerate(order):
+        out[m] = traced(back[: sizes[n], n].astype(np.int64), int(score[n].argmax()))
+    return out
+
+
+def decode_frames(p: np.ndarray, vad: np.ndarray, t: np.ndarray, cost: np.ndarray, cp: np.ndarray | None = None, lexical: np.ndarray | None = None,
+                  beta: np.ndarray | None = None, ten: np.ndarray | None = None, s: AlignSettings | None = None) -> np.ndarray:
+    """V2: the speaker of each frame by the best score alpha vad + beta emission - gamma cost - switches.
+
+    A switch away from a speaker costs more the longer its run has lasted, shortly after its last switch
+    (hysteresis) and at uncertain frames, less at change points and sentence ends and into a speaker who is clearly likeliest. The
+    run length follows the best predecessor, so the search is no plain Viterbi. The first frame's score enters negated
+    unless ``negated_start`` is off.
+    """
+    s = s or AlignSettings()
+    if not len(p):
+        return np.empty(0, np.int64)
+    return decode_many([frame_terms(p, vad, t, cost, cp, lexical, beta, ten, s)], s)[0]
 
 
 def decode_words(path: np.ndarray, p: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray, lexical: np.ndarray | None = None,
@@ -324,17 +364,54 @@ def resegmented(frames: DataFrame, hz: float) -> DataFrame:
     return per_session(frames.select(SESSION, "i", "vad", "p"), run, "i long, path int, p array<double>")
 
 
+def by_batches(df: DataFrame, run: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], schema: str, order: str = "i", rows: int = 100_000) -> DataFrame:
+    """As per_session(), for functions that take many whole sessions at once: about ``rows`` rows, or one session."""
+    names = [SESSION, *(part.split()[0] for part in schema.split(", "))]
+
+    def apply(frames):
+        held: pd.DataFrame | None = None  # whole sessions but for the last, which may go on
+
+        def done(whole: pd.DataFrame) -> pd.DataFrame:
+            parts = [g.reset_index(drop=True) for _, g in whole.groupby(SESSION, sort=False, dropna=False)]
+            made = run(parts)
+            for part, out in zip(parts, made, strict=True):
+                out.insert(0, SESSION, part[SESSION].iloc[0])
+            return pd.concat(made)[names]
+
+        for frame in frames:
+            held = frame if held is None else pd.concat((held, frame), ignore_index=True)
+            if len(held) >= rows:
+                last = held[SESSION].iloc[-1]
+                whole = held[held[SESSION] != last]
+                if len(whole):
+                    yield done(whole)
+                    held = held[held[SESSION] == last]
+        if held is not None and len(held):
+            yield done(held)
+
+    kind = df.schema[SESSION].dataType.simpleString()
+    return df.repartition(SESSION).sortWithinPartitions(SESSION, order).mapInPandas(apply, f"{SESSION} {kind}, {schema}")
+
+
 def decoded(frames: DataFrame, s: AlignSettings | None = None) -> DataFrame:
     """frames (session, i, t, vad, p, cost, cp, scale) -> session, i, t, path of V2 and W19."""
     s = s or AlignSettings()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        col = lambda c: pdf[c].to_numpy(float)
-        p = matrix(pdf["p"])
-        path = roll_back(decode_frames(p, col("vad"), col("t"), col("cost"), col("cp"), col("scale"), s=s), p, s.hz, s)
-        return pd.DataFrame({"i": pdf["i"], "t": pdf["t"], "path": path.astype("int32")})
-
-    return per_session(frames.select(SESSION, "i", "t", "vad", "p", "cost", "cp", "scale"), run, "i long, t double, path int")
+    def run(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        terms, speakers = [], []
+        for pdf in parts:
+            col = lambda c: pdf[c].to_numpy(float)  # noqa: B023, E731
+            p = matrix(pdf["p"])
+            speakers.append(p)
+            terms.append(frame_terms(p, col("vad"), col("t"), col("cost"), col("cp"), col("scale"), None, None, s))
+        paths: list[np.ndarray] = [np.empty(0)] * len(parts)
+        for k in {p.shape[1] for p in speakers}:
+            same = [m for m, p in enumerate(speakers) if p.shape[1] == k]
+            for m, path in zip(same, decode_many([terms[m] for m in same], s), strict=True):
+                paths[m] = roll_back(path, speakers[m], s.hz, s)
+        return [pd.DataFrame({"i": x["i"], "t": x["t"], "path": y.astype("int32")}) for x, y in zip(parts, paths, strict=True)]
+
+    return by_batches(frames.select(SESSION, "i", "t", "vad", "p", "cost", "cp", "scale"), run, "i long, t double, path int")
 
 
 def segmented(frames: DataFrame) -> DataFrame:
