@@ -110,6 +110,23 @@ def test_short_runs_are_absorbed_from_the_left():
     assert D.absorb_short_runs(np.array([0, 0, 0, 1, 2, 2, 2]), emit, 2).tolist() == [0, 0, 0, 0, 2, 2, 2]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_absorbing_in_one_pass_is_absorbing_again_and_again(seed):
+    rng = np.random.default_rng(seed)
+    n, least = int(rng.integers(1, 40)), int(rng.integers(1, 6))
+    path, emit = rng.integers(0, 3, n), np.log(rng.random((n, 3)))
+    slow = path.copy()
+    while True:
+        edges = [0, *(np.flatnonzero(slow[1:] != slow[:-1]) + 1), n]
+        short = [k for k in range(len(edges) - 1) if edges[k + 1] - edges[k] < least]
+        if least <= 1 or len(edges) <= 2 or not short:
+            break
+        a, b = edges[short[0]], edges[short[0] + 1]
+        options = ([slow[a - 1]] if a else []) + ([slow[b]] if b < n else [])
+        slow[a:b] = max(options, key=lambda x: emit[a:b, x].mean())
+    assert D.absorb_short_runs(path, emit, least).tolist() == slow.tolist()
+
+
 def test_roll_back_stops_at_the_run():
     p = np.array([[0.1, 0.9], [0.8, 0.2], [0.4, 0.6], [0.7, 0.3], [0.1, 0.9], [0.1, 0.9]])
     s = AlignSettings(rollback_sec=9, rollback_run_sec=1)

@@ -6,6 +6,7 @@ functions on arrays are pure; per_session() lifts them to DataFrames.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -91,17 +92,26 @@ def run_bounds(path: np.ndarray) -> np.ndarray:
 
 def absorb_short_runs(path: np.ndarray, emit: np.ndarray, least: int) -> np.ndarray:
     """While there is a run under ``least`` frames, the leftmost goes to the neighbour with the higher mean emission over
-    it, the left one of equals."""
-    path = path.copy()
-    while least > 1 and len(path):
-        bounds = run_bounds(path)
-        short = np.flatnonzero(np.diff(bounds) < least)
-        if len(bounds) < 3 or not len(short):
-            break
-        a, b = bounds[short[0]], bounds[short[0] + 1]
-        sides = [int(path[k]) for k, there in ((a - 1, a > 0), (b, b < len(path))) if there]
-        path[a:b] = sides[int(np.argmax([emit[a:b, s].mean() for s in sides]))]
-    return path
+    it, the left one of equals. One pass: what lies left of the leftmost short run is long and stays so."""
+    if least <= 1 or len(path) < 2:
+        return path.copy()
+    bounds = run_bounds(path).tolist()
+    ahead = deque([a, b, int(path[a])] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    settled: list[list[int]] = []
+    while ahead:
+        run = ahead.popleft()
+        if settled and settled[-1][2] == run[2]:
+            run[0] = settled.pop()[0]
+        a, b, _ = run
+        if b - a >= least or not (settled or ahead):
+            settled.append(run)
+            continue
+        left, right = (float(emit[a:b, r[2]].mean()) if r else None for r in (settled and settled[-1], ahead and ahead[0]))
+        if right is None or (left is not None and left >= right):
+            settled[-1][1] = b
+        else:
+            ahead[0][0] = a
+    return np.concatenate([np.full(b - a, x) for a, b, x in settled])
 
 
 def silence_resets(vad: np.ndarray, step: np.ndarray, below: float, least: float) -> np.ndarray:

@@ -86,7 +86,7 @@ def signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(session, idx, vec_id, v, label): the first 60 of each of ten sessions pairwise make a bounded similarity matrix."""
+    """(session, idx, vec_id, v, label): the embeddings in ten sessions."""
     e = table(spark, d, "embeddings")
     return e.select((F.col("vec_id") % 10).alias("session"), F.floor(F.col("vec_id") / 10).alias("idx"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
 

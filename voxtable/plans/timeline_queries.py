@@ -108,15 +108,17 @@ def j9(spark, d):
     return J.paint(S.shifted(spark, d), S.frames(spark, d), HZ)
 
 
-IV = ", iv AS (SELECT session, seg_idx AS iv, t0, t1 FROM seg WHERE seg_idx % 3 = 1), ev AS (SELECT session, word_idx AS event_id, t0 AS t, speaker FROM words WHERE word_idx % 7 = 0)"
+IV = ", iv AS (SELECT session, seg_idx AS iv, t0, t1 FROM seg WHERE speaker = 'assistant'), ev AS (SELECT session, word_idx AS event_id, t0 AS t, speaker FROM words WHERE regexp_matches(word, '[.?]$'))"
 
 
 def _events(spark, d):
-    return S.words(spark, d).where("word_idx % 7 = 0").select("session", F.col("word_idx").alias("event_id"), F.col("t0").alias("t"), "speaker")
+    """Words that end a sentence."""
+    return S.words(spark, d).where(F.col("word").rlike("[.?]$")).select("session", F.col("word_idx").alias("event_id"), F.col("t0").alias("t"), "speaker")
 
 
 def _intervals(spark, d):
-    return S.segments(spark, d).where("seg_idx % 3 = 1").select("session", F.col("seg_idx").alias("iv"), "t0", "t1")
+    """The assistant's segments."""
+    return S.segments(spark, d).where("speaker = 'assistant'").select("session", F.col("seg_idx").alias("iv"), "t0", "t1")
 
 
 @query("J11_event_semi", f"{HW}{IV} SELECT session, event_id, round(t, 6) AS t FROM ev WHERE EXISTS (SELECT 1 FROM iv WHERE iv.session = ev.session AND ev.t BETWEEN iv.t0 - 0.25 AND iv.t1 + 0.25)")

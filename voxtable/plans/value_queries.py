@@ -179,10 +179,10 @@ def a20(spark, d):
     return rounded(A.grid_search(S.frames(spark, d), F.array_max("p") >= 0.5, F.col("vad"), GA, GB, GT), "f1")
 
 
-SIM = ", few AS (SELECT * FROM vec WHERE vec_id < 600), pr AS (SELECT a.session, a.idx AS i, b.idx AS j, least(1, greatest(-1, list_dot_product(a.v, b.v))) AS s FROM few a JOIN few b ON a.session = b.session AND a.idx <> b.idx)"
+SIM = ", few AS (SELECT * FROM vec), pr AS (SELECT a.session, a.idx AS i, b.idx AS j, least(1, greatest(-1, list_dot_product(a.v, b.v))) AS s FROM few a JOIN few b ON a.session = b.session AND a.idx <> b.idx)"
 
 
-@query("A21_similarity_summary", f"""{HV}{SIM.replace("WHERE vec_id < 600", "")}, rw AS (SELECT session, i, max(s) AS top, list_sort(list(s), 'DESC')[2] AS snd FROM pr GROUP BY 1, 2)
+@query("A21_similarity_summary", f"""{HV}{SIM}, rw AS (SELECT session, i, max(s) AS top, list_sort(list(s), 'DESC')[2] AS snd FROM pr GROUP BY 1, 2)
 SELECT p.session, round(p.m, 6) AS mean, round(p.sd, 6) AS deviation, round(r.g, 6) AS gap_mean, round(r.gm, 6) AS gap_median, r.iso AS isolated FROM (SELECT session, avg(s) AS m, stddev_pop(s) AS sd FROM pr GROUP BY 1) p
 JOIN (SELECT session, avg(top - coalesce(snd, top)) AS g, median(top - coalesce(snd, top)) AS gm, CAST(sum(CAST(top < 0.4 AS INTEGER)) AS BIGINT) AS iso FROM rw GROUP BY 1) r USING (session)""")
 def a21(spark, d):
@@ -302,10 +302,10 @@ def p6(spark, d):
     return S.table(spark, d, "events").select("event_id", kind.contains("click").alias("is_switch"), kind.contains("view").alias("is_peak"))
 
 
-@query("P7_time_neighbours", f"{HS} SELECT a.session, a.event_id AS a, b.event_id AS b FROM sig a JOIN sig b ON a.session = b.session AND abs(a.t - b.t) <= 1 AND a.event_id <> b.event_id WHERE a.k = 0")
+@query("P7_time_neighbours", f"{HS} SELECT a.session, a.event_id AS a, b.event_id AS b FROM sig a JOIN sig b ON a.session = b.session AND abs(a.t - b.t) <= 1 AND a.event_id <> b.event_id WHERE a.label = 'click'")
 def p7(spark, d):
     s = S.signal(spark, d)
-    return B.time_neighbours(s.where("k = 0"), s, 1.0)
+    return B.time_neighbours(s.where("label = 'click'"), s, 1.0)
 
 
 @query("P10_min_duration", f"{H} SELECT session, seg_idx, round(t1 - t0, 6) AS seconds FROM seg WHERE t1 - t0 >= 15")
@@ -322,7 +322,7 @@ def j17(spark, d):
 
 @query("J18_pairwise_cosine", f"{HV}{SIM} SELECT session, i, j, round(s, 5) AS s FROM pr WHERE i < j")
 def j18(spark, d):
-    return M.pairwise(S.vectors(spark, d).where("vec_id < 600")).select("session", "i", "j", F.round("s", 5).alias("s"))
+    return M.pairwise(S.vectors(spark, d)).select("session", "i", "j", F.round("s", 5).alias("s"))
 
 
 @query("O2_topk_segments", f"{H} SELECT session, seg_idx, round(t0, 6) AS t0 FROM seg QUALIFY row_number() OVER (PARTITION BY session ORDER BY round(t1 - t0, 9) DESC, seg_idx) <= 3")
