@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import model_queries, more_queries, timeline_queries, value_queries
+from . import model_queries, more_queries, source_queries, timeline_queries, value_queries
 from .registry import ORACLES, QUERIES
 
-MODULES = (timeline_queries, value_queries, model_queries, more_queries)
+MODULES = (timeline_queries, value_queries, model_queries, more_queries, source_queries)
 
 
 def queries() -> dict:
