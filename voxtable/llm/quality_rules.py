@@ -212,7 +212,10 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_R
 def keep(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept. Texts are measured twice, for the fit and for the verdict, and never move."""
     model = fit(counted(voted(docs.select("text"))), len(votes()))
-    return verdicts(voted(docs), model, min_words, max_repeat, threshold).where("kept").select("row.*")
+    judged = verdicts(voted(docs), model, min_words, max_repeat, threshold)
+    # a filter would be pushed below the measures and repeat them for each use; one on what explode gives is not
+    chosen = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return chosen.where("row is not null").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
