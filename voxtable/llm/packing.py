@@ -205,7 +205,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     place.__annotations__ = {"length": pd.Series, "rank": pd.Series, "return": pd.DataFrame}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = cut.join(base, ["part", "length"]).withColumn(
+    # the counts of all tasks grow with the input: a shuffle, never a broadcast
+    placed = cut.join(base.hint("merge"), ["part", "length"]).withColumn(
         "place", F.pandas_udf(place, "sequence_id long, offset long")("length", F.col("base") + F.col("nth"))
     )
     return placed.select(
