@@ -478,6 +478,40 @@ def test_repeats_against_brute_force(spark):
         assert clean[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if not wanted.get((i, n)))
 
 
+def test_passages_across_and_within_lines(spark):
+    rng = random.Random(11)
+    passage, fill = prose(rng, 54).split(), lambda n: prose(rng, n)
+    across = "\n".join(" ".join(passage[i : i + 18]) for i in range(0, 54, 18))
+    within = " ".join(passage)
+    short = " ".join(passage[:49])
+    texts = [f"{fill(30)}\n{across}\n{fill(20)}", f"{fill(70)} {within} é {fill(70)}", f"{fill(9)}\n\n{across}\n{fill(30)}", f"{fill(60)} {short} {fill(60)}", "y " * 70]
+    df = awkward(spark, *texts)
+    out = sorted((r.doc_id, r.line, r.removed, r.n_words, texts[r.doc_id][r.start : r.end]) for r in paragraphs.repeats(df).collect())
+    assert out == [(0, 1, False, 54, across), (1, 0, True, 54, within), (2, 2, True, 54, across)]
+    assert len({r.cluster_id for r in paragraphs.repeats(df).collect()}) == 1
+    clean = {r.doc_id: r.text for r in paragraphs.remove(df).collect()}
+    assert [clean[i] for i in (0, 3, 4)] == [texts[i] for i in (0, 3, 4)]
+    assert clean[1] == texts[1].replace(f" {within}", "") and clean[2] == texts[2].replace(f"{across}\n", "")
+
+
+def test_passages_against_brute_force(spark, docs):
+    few = docs.head(120)
+    grams, size = {}, 50
+    for i, t in zip(few.doc_id, few.text, strict=True):
+        words = (t or "").encode().split()
+        for p in range(len(words) - size + 1):
+            grams.setdefault(tuple(words[p : p + size]), []).append((i, p))
+    wanted = {(i, w) for places in grams.values() for i, p in places[1:] if (i, p - size) >= places[0] or i != places[0][0] for w in range(p, p + size)}
+    covered = set()
+    for r in paragraphs.repeats(spark.createDataFrame(few[["doc_id", "text"]], DOCS)).where("removed").collect():
+        text = few.text[few.doc_id == r.doc_id].iloc[0]
+        at = len(text[: r.start].encode().split())
+        covered |= {(r.doc_id, w) for w in range(at, at + len(text[r.start : r.end].encode().split()))}
+    # beside lines that go as a whole fewer than 50 words may stay
+    left = wanted - covered
+    assert len(wanted) > 1000 and not any(all((i, w + k) in left for k in range(size)) for i, w in left)
+
+
 def test_repeats_of_awkward_rows(spark):
     rng = random.Random(1)
     line = prose(rng, 80)

@@ -1,4 +1,4 @@
-"""Substring dedup by paragraph MinHash banding (operator 9).
+"""Substring dedup by paragraph MinHash banding and repeated passages (operator 9).
 
 A paragraph is a line (``\\n``-split) of at least MIN_WORDS words, 50 by default: passages, not slogans
 or licence lines. Bands are tuned for a recall over 0.999 at the threshold; paragraphs that collide in a
@@ -6,6 +6,14 @@ band are joined and verified by the exact Jaccard index of their five-word shing
 (``measure="edit"``: 1 - distance / longer length); clusters are connected components of
 verified pairs. Of each cluster the first occurrence stays, by (doc_id, line); all others are marked.
 
+Passages. Lines of any length are also searched as one run of words a document: every run of MIN_WORDS words
+or more that stands word for word at two places is found, across lines and within them. Windows chosen by content
+(shingles.anchors) tell which stretches can hold such a run; there every window of MIN_WORDS words is compared by
+hash. The first place of each window stays, the rest are marked; windows that meet make one row, with the
+line in which it starts. Lines that go as a whole part the text; what a passage has beside such a line makes a row if it
+is MIN_WORDS words or more itself.
+A row of passages bears the cluster of its first window; rows that stay and rows that go may overlap.
+
 Edge cases. Null text counts as empty. A null doc_id orders before all others. Rows with the same doc_id
 and text count as one row. Empty tables give no rows; texts of one long line are one paragraph. Other
 columns pass through remove() untouched, n_chars (where there is one) is counted anew for cut texts.
@@ -13,18 +21,20 @@ columns pass through remove() untouched, n_chars (where there is one) is counted
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import spool, table, text_or_empty
 from .components import components
 from .neardup import PairChecker, candidate_components, into_blocks, text_key, verified_links
-from .shingles import band_keys, minhash_runs, tune_bands, window_hashes, word_hashes, word_spans
+from .shingles import anchors, band_keys, minhash_runs, rolling_hashes, tune_bands, window_hashes, word_hashes, word_spans
 
 SIZE, THRESHOLD, MISS, LANES, TOLERANCE, BLOCK, MIN_WORDS = 5, 0.8, 1e-3, 20, 1e-6, 256, 50
 
@@ -105,6 +115,126 @@ class EditChecker(PairChecker):
                 yield i, j
 
 
+def _place_key(key: Column) -> Column:
+    """The leading 60 bits of a text's key, in the same order."""
+    return F.conv(F.substring(F.hex(key), 1, 15), 16, 10).cast("long")
+
+
+def _windows_of(text: str, size: int, hits: list[int], gone: list[int], near: list[int]) -> list[np.ndarray] | None:
+    """Position, hash, code points from and to, line, and whether it only serves as a source, of each window of ``size``
+    words near ``hits`` that has no word of the lines ``gone``, or lies in one of ``near``."""
+    data = text.encode("utf-8", "surrogatepass")
+    starts, ends = word_spans(data)
+    n = len(starts)
+    if n < size:
+        return None
+    raw = np.frombuffer(data, np.uint8)
+    breaks = np.flatnonzero(raw == 10)
+    line = np.searchsorted(breaks, starts)
+    count = lambda on: np.concatenate(([0], np.cumsum(on)))
+    hit = np.zeros(n, bool)
+    hit[np.asarray(hits)] = True
+    hit, cut = count(hit), count(np.isin(line, gone))
+    at = np.arange(n - size + 1)
+    source = (line[at] == line[at + size - 1]) & np.isin(line[at], near)
+    at = at[(hit[at + size - (size + 1) // 2 + 1] > hit[at]) & ((cut[at + size] == cut[at]) | source)]
+    points = np.cumsum((raw & 0xC0) != 0x80) - 1
+    found = rolling_hashes(word_hashes(data, (starts, ends)), size)[at].view("int64")
+    return [at, found, points[starts[at]], points[ends[at + size - 1] - 1] + 1, line[at], source[at]]
+
+
+def passages(docs: DataFrame, lines: DataFrame, size: int = MIN_WORDS) -> DataFrame:
+    """docs (doc_id, text, ...) and the lines that go (doc_id, doc_key, line, near: unlike the line that stays) -> doc_id, doc_key,
+    line, start, end, n_words, cluster_id, removed of all runs of ``size`` words and more that stand at two places outside those lines."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("doc_key", _place_key(text_key(F.col("text"))))
+    number = F.xxhash64("doc_id", "doc_key")
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            docs_of, parts = [], []
+            for doc, text in zip(frame["doc"], frame["text"], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                spans = word_spans(data)
+                if len(spans[0]) < size:
+                    continue
+                at, found = anchors(word_hashes(data, spans), size)
+                line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), spans[0][at])
+                docs_of.append(doc)
+                parts.append((at, line, found.view("int64")))
+            if parts:
+                doc = np.repeat(np.array(docs_of, np.int64), [len(x[0]) for x in parts])
+                yield pd.DataFrame({"doc": doc, **dict(zip(("pos", "line", "h"), map(np.concatenate, zip(*parts, strict=True)), strict=True))})
+
+    chosen = texts.select(number.alias("doc"), "text").mapInPandas(choose, "doc long, pos int, line int, h long")
+    shared = lambda df: df.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").drop("n")
+    barred = lines.where("not near").select(number.alias("doc"), "line").distinct()
+    # a second count without the lines that go: most of what is shared is shared with these
+    left = shared(shared(chosen).join(barred.hint("merge"), ["doc", "line"], "left_anti"))
+    hits = left.groupBy("doc").agg(F.collect_set("pos").alias("hits"))
+    cuts = lines.groupBy(number.alias("doc")).agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
+    noted = spool(hits.join(cuts, "doc", "left"))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in frame["text"]])
+
+    packed = texts.select(F.col("doc_id").cast("string").alias("id"), "doc_key", number.alias("doc"), "text").mapInPandas(
+        pack, "id string, doc_key long, doc long, text binary"
+    )
+    columns = ["pos", "h", "start", "end", "line", "source"]
+
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, doc_keys, parts = [], [], []
+            for i, key, text, at, gone, near in zip(*(frame[c] for c in ("id", "doc_key", "text", "hits", "gone", "near")), strict=True):
+                text = zlib.decompress(text).decode("utf-8", "surrogatepass")
+                made = _windows_of(text, size, at, [] if gone is None else gone, [] if near is None else near)
+                if made is not None:
+                    ids.append(i)
+                    doc_keys.append(key)
+                    parts.append(made)
+            if parts:
+                times = [len(x[0]) for x in parts]
+                values = map(np.concatenate, zip(*parts, strict=True))
+                yield pd.DataFrame({"id": np.repeat(np.array(ids, object), times), "doc_key": np.repeat(doc_keys, times), **dict(zip(columns, values, strict=True))})
+
+    made = packed.join(noted.hint("merge"), "doc").mapInPandas(
+        windows, "id string, doc_key long, pos int, h long, start int, end int, line int, source boolean"
+    )
+    place = F.struct("doc_id", "doc_key", "pos")
+    alike = Window.partitionBy("h")
+    upon = lambda p: F.col("first.doc_id").eqNullSafe(p["doc_id"]) & (F.col("first.doc_key") == p["doc_key"]) & (p["pos"] < F.col("first.pos") + size)
+    # a window that overlaps its own first place is no second one
+    rows = spool(
+        made.withColumn("doc_id", F.col("id").cast(kind)).withColumn("place", place)
+        .withColumn("first", F.min("place").over(alike)).withColumn("last", F.max(F.when(~F.col("source"), F.col("place"))).over(alike))
+        .where(~upon(F.col("last"))).withColumn("removed", ~upon(F.col("place"))).drop("id", "last", "place", "h")
+    )
+    order = Window.partitionBy("doc_id", "doc_key", "removed").orderBy("pos")
+
+    def islands(df: DataFrame) -> DataFrame:
+        begins = F.coalesce(F.col("pos") > F.lag("pos").over(order) + size, F.lit(True)).cast("int")
+        return df.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order)).groupBy("doc_id", "doc_key", "removed", "island")
+
+    origins = spool(
+        islands(rows.where("not removed"))
+        .agg(F.min("pos").alias("least"), F.max("pos").alias("most"))
+        .select(
+            F.col("doc_id").alias("o_id"), F.col("doc_key").alias("o_key"), "least", "most",
+            F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), "doc_key", "least")).alias("cluster_id"),
+        )
+    )
+    spans = spool(
+        islands(rows.where("not source")).agg(
+            F.min("line").alias("line"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
+            (F.max("pos") + size - F.min("pos")).alias("n_words"), F.min(F.struct("pos", "first"))["first"].alias("first"),
+        )
+    )
+    inside = (F.col("first.doc_key") == F.col("o_key")) & F.col("first.doc_id").eqNullSafe(F.col("o_id")) & F.col("first.pos").between(F.col("least"), F.col("most"))
+    return spans.join(origins, inside).select("doc_id", "doc_key", "line", "start", "end", "n_words", "cluster_id", "removed")
+
+
 def repeats(
     docs: DataFrame,
     size: int = SIZE,
@@ -117,8 +247,9 @@ def repeats(
     likeness: float = 0.8,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, doc_key, line, start, end, n_words, cluster_id, removed: a row
-    for each occurrence of a paragraph whose cluster has more than one; start and end are code
-    points of the text, end exclusive; cluster_id is the hex key of the cluster's least paragraph."""
+    for each occurrence of a paragraph or passage whose cluster has more than one; start and end are code
+    points of the text, end exclusive; cluster_id is the hex key of the cluster's least paragraph or names the first
+    place of a passage; doc_key is the leading part of the text's key."""
     if measure not in ("jaccard", "edit"):
         raise ValueError("measure is jaccard or edit")
     bands, rows = tune_bands(threshold, miss, LANES)
@@ -156,32 +287,66 @@ def repeats(
         named.groupBy("cluster").agg(F.min("at").alias("kept"), F.count("*").alias("n"), F.max("many").alias("many"))
         .where("n > 1 or many").select("cluster", "kept")
     )
-    marked = spool(named.select("key", "cluster").join(heads, "cluster"))
-    return (
+    marked = spool(named.select("key", "cluster", "at").join(heads, "cluster"))
+    lines = spool(
         found.drop("bands").join(marked, "key").select(
-            "doc_id", "doc_key", "line", "start", "end", "n_words",
+            "doc_id", _place_key(F.col("doc_key")).alias("doc_key"), "line", "start", "end", "n_words",
             F.lower(F.hex("cluster")).alias("cluster_id"), (~place.eqNullSafe(F.col("kept"))).alias("removed"),
+            (F.col("at") != F.col("kept")).alias("near"),
         )
     )
+    return lines.drop("near").unionByName(passages(docs, lines.where("removed").select("doc_id", "doc_key", "line", "near"), least))
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the spans of code points; lines of which nothing is left go with their breaks."""
+    merged: list[list[int]] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    out, at, k = [], 0, 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        while k < len(merged) and merged[k][1] < at:
+            k += 1
+        pieces, begin, j, cut = [], at, k, False
+        while j < len(merged) and merged[j][0] <= end:
+            low, high = max(merged[j][0], at), min(merged[j][1], end)
+            if low < high or (merged[j][0] < at and merged[j][1] > end):
+                pieces.append(text[begin:low])
+                begin, cut = high, True
+            j += 1
+        if not cut:
+            out.append(line)
+        else:
+            left = [p for p in (*(x.strip(" \t\r\v\f") for x in (*pieces, text[begin:end])),) if p]
+            if left:
+                out.append(" ".join(left))
+        at = end + 1
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
 def remove(docs: DataFrame, **options) -> DataFrame:
-    """docs with the removed paragraphs cut out of their texts. A document left without a word goes."""
+    """docs with the removed paragraphs and passages cut out of their texts. A document left without a word goes."""
     gone = spool(
         repeats(docs, **options).where("removed")
         .groupBy(F.col("doc_id").alias("cut_id"), F.col("doc_key").alias("cut_key"))
-        .agg(F.collect_set("line").alias("lines"))
+        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
     # the rows as structs, whatever their columns are called
-    hashed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key(text_or_empty()).alias("text_key"))
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _place_key(text_key(text_or_empty())).alias("text_key"))
     met = (F.col("text_key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
     joined = hashed.join(gone.hint("merge"), met, "left")
-    stay = F.filter(
-        F.transform(F.split("row.text", "\n", -1), lambda x, i: F.when(F.array_contains("lines", i), None).otherwise(x)),
-        lambda x: x.isNotNull(),
-    )
-    whole = F.col("lines").isNull()
-    cut = joined.withColumn("cut", F.when(whole, F.col("row.text")).otherwise(F.array_join(stay, "\n")))
+    whole = F.col("spans").isNull()
+    left = joined.withColumn("left", _cut(F.when(~whole, F.col("row.text")), F.col("spans")))
+    cut = left.withColumn("cut", F.when(whole, F.col("row.text")).otherwise(F.col("left")))
     out = cut.where(whole | F.col("cut").rlike("[^\\x20\\x09-\\x0D]"))
     new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:

@@ -114,3 +114,37 @@ def tune_bands(threshold: float, miss: float, most_lanes: int = 256) -> tuple[in
     if best is None:
         raise ValueError("no banding reaches this recall")
     return best
+
+
+def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of exactly ``size`` words at a cost that does not grow with ``size``; none of a shorter text."""
+    n = len(words)
+    if n < size:
+        return np.empty(0, U)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(words * _power(_BASE, n), dtype=U, out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * _power(_INVERSE, n)[: n - size + 1])
+
+
+def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` over each full window of ``width`` values."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = best(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def anchors(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of windows of (size + 1) // 2 words, chosen by their content alone (the least of their
+    neighbourhood), so that equal runs of ``size`` words hold an equal choice at equal places."""
+    part = (size + 1) // 2
+    width = size - part + 1
+    found = rolling_hashes(words, part)
+    if len(found) < width:
+        return np.empty(0, np.int64), np.empty(0, U)
+    least = _sliding(found, width, np.minimum)
+    pad = np.zeros(width - 1, U)
+    at = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == found)
+    return at, found[at]
