@@ -167,6 +167,19 @@ def test_all_template_pages():
         assert html_text.Page(html).text(None) == "\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize("wrappers", [1, 2, 3, 5])
+@pytest.mark.parametrize("top", ["article", "div class=x"])
+def test_sections_in_wrappers_are_one_text(spark, wrappers, top):
+    parts = [f"Section {i} " + "has words enough to be read as prose. " * 4 for i in range(10)]
+    inner = "".join("<section>" + "<div>" * wrappers + f"<p>{p}</p>" + "</div>" * wrappers + "</section>" for p in parts)
+    html = f"<body><nav><p>Home</p></nav><{top}>{inner}</{top.split()[0]}><footer>foot</footer></body>"
+    wanted = "\n".join(p.strip() for p in parts)
+    page = html_text.Page(html)
+    assert page.text(None) == wanted and page.text(page.votes()[0][0]) == wanted
+    innermost = next(n for n in page.containers() if n.tag == "div" and not any(m.parent is n and m.tag == "div" for m in page.nodes) and "div.x" != n.steps[-1])
+    assert page.text(">".join(innermost.steps)) == wanted
+
+
 # 3
 
 

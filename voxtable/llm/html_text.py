@@ -13,7 +13,7 @@ joined by one newline; white space within a block, line breaks included, is one
 
 Edge cases. Null html is empty and gives an empty text, as do pages without text. Unclosed and misnested tags close
 with what contains them. A null url or one without a host shares the empty host. Ties of votes go to
-the greater path, of containers to the first. Rows may repeat; empty tables give no rows; other columns do not matter.
+the greater path, of containers to the innermost, then the first. Rows may repeat; empty tables give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -64,11 +64,12 @@ WHOLE = {"html", "body", "article", "main"}
 
 
 class Node:
-    __slots__ = ("parent", "tag", "steps", "gone", "soft", "good", "size", "links", "score")
+    __slots__ = ("parent", "tag", "steps", "gone", "soft", "good", "size", "links", "score", "depth")
 
     def __init__(self, parent: Node | None, tag: str, steps: tuple[str, ...], gone: bool, soft: bool, good: bool):
         self.parent, self.tag, self.steps, self.gone, self.soft, self.good = parent, tag, steps, gone, soft, good
         self.size = self.links = self.score = 0.0
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -209,13 +210,21 @@ class Page:
             if not node.gone and (not heads or node.tag in HEADINGS):
                 kept.append((node, text))
         self.blocks = kept
-        for node, text in kept:
-            prose = len(text) * (1 - (node.links / node.size if node.size else 0))
-            up, share, seen = node, 1.0, 0
-            while up is not None and seen < 3:
+        prose = [len(text) * (1 - (node.links / node.size if node.size else 0)) for node, text in kept]
+        mass: dict[int, float] = {}
+        for (node, _), much in zip(kept, prose, strict=True):
+            up = node
+            while up is not None:
+                mass[id(up)] = mass.get(id(up), 0) + much
+                up = up.parent
+        for (node, _), much in zip(kept, prose, strict=True):
+            up, share, below = node, 1.0, 0.0
+            while up is not None and much:
                 if up.tag in CONTAINERS:
-                    up.score += prose * share * (2.0 if up.good else 1.0)
-                    share, seen = share * 0.6, seen + 1
+                    # a wrapper that adds no text costs nothing
+                    share *= max(0.6, below / mass[id(up)]) if below else 1.0
+                    up.score += much * share * (2.0 if up.good else 1.0)
+                    below = mass[id(up)]
                 up = up.parent
 
     @staticmethod
@@ -227,8 +236,8 @@ class Page:
         return False
 
     def containers(self) -> list[Node]:
-        """Containers with prose, best first; of equal ones the first."""
-        return sorted((n for n in self.nodes if n.score > 0 and not n.gone), key=lambda n: -n.score)
+        """Containers with prose, best first; of equal ones the innermost of a nest, else the first."""
+        return sorted((n for n in self.nodes if n.score > 0 and not n.gone), key=lambda n: (-round(n.score, 6), -n.depth))
 
     def votes(self) -> list[tuple[str, float]]:
         """(path, weight) of the best containers, weights relative to the best."""
@@ -243,8 +252,8 @@ class Page:
         if path:
             on_path = [n for n in ranked if ">".join(n.steps) == path]
             if on_path:
-                # several of a kind side by side are one text, unless each is an article of its own
-                chosen = on_path[:1] if on_path[0].tag in ("article", "main") else [n for n in on_path if n.parent is on_path[0].parent]
+                # several of a kind are one text, unless each is an article of its own
+                chosen = on_path[:1] if on_path[0].tag in ("article", "main") else on_path
                 found = self._within(*chosen)
                 if sum(map(len, found)) >= LEAST_SHARE * sum(map(len, own)):
                     own = found
