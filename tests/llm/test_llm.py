@@ -432,6 +432,17 @@ def test_blocks_reach_aliases_but_not_allowed_ones(spark):
     assert url_filters.judge(pages.limit(0), url_filters.page_edges(pages.limit(0))).count() == 0
 
 
+def test_links_are_decoded_and_resolved(spark):
+    rows = [
+        (1, "http://a.org/q/x", '<link rel="canonical" href="/en/1?a=1&amp;b=2">'), (2, "http://a.org/en/1?a=1&b=2", '<link rel=canonical href="//b.net/es/1">'),
+        (3, "https://c.org/p", '<base href="https://b.net/es/"><meta http-equiv="refresh" content="0; url=\'2\'">'),
+        (4, "https://d.org/p", '<meta property="og:url" content="https&#58;//b.net/fr/3">'), (5, "https://e.org/p", '<link rel=canonical href="mailto:x@b.net"><link rel=canonical>'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.verdict for r in url_filters.judge(pages, url_filters.page_edges(pages)).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 # 8
 
 

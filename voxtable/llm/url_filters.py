@@ -7,8 +7,8 @@ classes, connected components found in Spark. A block decision of any member hol
 except for members that an allow rule names themselves: an explicit allow goes before a propagated block.
 URLs without a rule in a class without a block are allowed.
 
-Edges of a page are its canonical link, its og:url and a meta refresh, as far as they give absolute URLs;
-redirect() takes further edges as a table. For equivalence a URL is its host, path and query: scheme and fragment
+Edges of a page are its canonical link, its og:url and a meta refresh, references decoded and relative ones resolved
+against the page's <base> or its own url; redirect() takes further edges as a table. For equivalence a URL is its host, path and query: scheme and fragment
 do not count, and the host is lower-cased.
 
 Edge cases. A null url or one without ``://`` has an empty host and path, no rule, no class and is allowed. Null
@@ -18,6 +18,12 @@ are read; other columns do not matter.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from html import unescape
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,18 +72,53 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return found
 
 
-def links_of(html: Column) -> Column:
-    """Absolute URLs that a page names as its other address."""
-    tags = F.regexp_extract_all(html, F.lit("(?is)<(?:link|meta)\\b[^>]*>"), 0)
-    wanted = F.filter(tags, lambda t: t.rlike("(?is)rel\\s*=\\s*[\"']?canonical|og:url|http-equiv\\s*=\\s*[\"']?refresh"))
-    target = lambda t: F.regexp_extract(t, "(?is)(?:href|content)\\s*=\\s*[\"']?(?:\\s*[0-9.]+\\s*;\\s*url\\s*=\\s*)?['\"]?\\s*(https?://[^\\s\"'>]+)", 1)
-    return F.filter(F.transform(wanted, target), lambda u: u != "")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+REFRESH = re.compile(r"\s*[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?['\"]?\s*([^'\"]+)", re.I)
+
+
+def tags_of(html: Column) -> Column:
+    """The link, meta and base tags that may tell a page's other address."""
+    tags = F.regexp_extract_all(html, F.lit("(?is)<(?:link|meta|base)\\b[^>]*>"), 0)
+    return F.filter(tags, lambda t: t.rlike("(?is)^<base|canonical|og:url|refresh"))
+
+
+def targets_of(url: str, tags: Iterable[str]) -> list[str]:
+    """Absolute http(s) URLs that a page names as its other address, resolved against <base> or its own url."""
+    base, found = None, []
+    for tag in tags:
+        own = {}
+        for m in ATTRIBUTE.finditer(tag):
+            own.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or "").strip())
+        kind = tag[1:5].lower()
+        if kind == "base":
+            base = base or own.get("href")
+        elif kind == "link" and "canonical" in own.get("rel", "").lower().split():
+            found.append(own.get("href", ""))
+        elif kind == "meta" and "og:url" in (own.get("property", "").lower(), own.get("name", "").lower()):
+            found.append(own.get("content", ""))
+        elif kind == "meta" and own.get("http-equiv", "").lower() == "refresh" and (m := REFRESH.match(own.get("content", ""))):
+            found.append(m[1].strip())
+    out = []
+    for target in filter(None, found):
+        try:
+            whole = urljoin(urljoin(url, base or ""), target)
+        except ValueError:  # no URL at all
+            continue
+        if re.match("https?://", whole, re.I):
+            out.append(whole)
+    return out
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) URLs from the pages' own heads."""
-    found = pages.where("url is not null and html is not null").select(F.col("url").alias("src"), F.explode(links_of(F.col("html"))).alias("dst"))
-    return found.where("src <> dst")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(url, t) for url, tags in zip(frame["src"], frame["tags"], strict=True) for t in targets_of(url, tags)]
+            yield pd.DataFrame(out, columns=["src", "dst"])
+
+    tagged = pages.where("url is not null and html is not null").select(F.col("url").alias("src"), tags_of(F.col("html")).alias("tags"))
+    return tagged.where(F.size("tags") > 0).mapInPandas(run, "src string, dst string").where("src <> dst")
 
 
 def judge(
