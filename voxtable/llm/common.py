@@ -35,12 +35,21 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
 def spool(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back. Lineage is cut, a lost
     executor costs nothing that is already written, and later joins know the table's size.
-    The files go when the session ends."""
+    The files go when the session ends, or with release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.spooled = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of spooled tables. What was made of them must have been spooled itself."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.spooled)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_parts(spark: SparkSession, least: int = 1) -> int:

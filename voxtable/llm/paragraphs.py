@@ -21,71 +21,97 @@ columns pass through remove() untouched, n_chars (where there is one) is counted
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import spool, table, text_or_empty
+from .common import release, spool, table, text_or_empty
 from .components import components
 from .neardup import PairChecker, candidate_components, into_blocks, text_key, verified_links
-from .shingles import anchors, band_keys, minhash_runs, rolling_hashes, tune_bands, window_hashes, word_hashes, word_spans
+from .shingles import Words, anchors, band_keys, minhash_runs, portions, rolling_hashes, tune_bands, window_hashes, word_hashes, word_spans
 
 SIZE, THRESHOLD, MISS, LANES, TOLERANCE, BLOCK, MIN_WORDS = 5, 0.8, 1e-3, 20, 1e-6, 256, 50
 
 
-def paragraph_key(line: bytes) -> bytes:
-    return blake2b(line, digest_size=16).digest()
+PARAGRAPH = "line int, start long, end long, n_words int, key binary, bands array<bigint>"
+ANCHOR = "pos int, line int, h long"
 
 
-def _paragraphs_of(text: str, size: int, least: int, bands: int, rows: int) -> list[tuple]:
-    """(line number, start, end in code points, words, key, band keys) of the paragraphs of a text."""
-    data = text.encode("utf-8", "surrogatepass")
-    spans = word_spans(data)
-    if len(spans[0]) < least:
-        return []
-    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-    first = np.searchsorted(spans[0], np.concatenate(([0], breaks + 1)))
-    count = np.diff(np.append(first, len(spans[0])))
+def _lists(owner: np.ndarray, n: int, columns: dict[str, pa.Array]) -> pa.Array:
+    """A list of structs for each of ``n`` rows; ``owner`` ascends and tells whose each struct is."""
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+def _surveyed(texts: list[bytes], size: int, least: int, bands: int, rows: int) -> list[pa.Array]:
+    """Words, code points, paragraphs and anchors of each text."""
+    many, n = Words(texts), len(texts)
+    raw = np.frombuffer(many.data, np.uint8)
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    tails = many.offsets + np.array([len(t) for t in texts], np.int64)
+    start, end, owner = many.lines()
+    first = np.append(np.searchsorted(many.start, start), len(many.start))
+    count = np.diff(first)
     chosen = np.flatnonzero(count >= least)
-    if not len(chosen):
-        return []
-    lines = text.split("\n")
-    starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))
-    words = word_hashes(data, spans)
-    runs = [window_hashes(words[first[k] : first[k] + count[k]], size) for k in chosen]
-    at = np.concatenate(([0], np.cumsum([len(r) for r in runs])[:-1]))
-    keys = band_keys(minhash_runs(np.concatenate(runs), at, bands * rows), bands, rows).view("int64")
+    numbers = np.arange(len(start)) - np.searchsorted(owner, np.arange(n))[owner]
+    if len(chosen):
+        runs = window_hashes(many.hashes, size)
+        keys = minhash_runs(runs, first[chosen], first[chosen] + count[chosen] - min(size, least) + 1, bands * rows)
+        bound = band_keys(keys, bands, rows).view("int64").ravel()
+    else:
+        bound = np.empty(0, np.int64)
+    base = points[many.offsets[owner[chosen]]]
+    found = {
+        "line": pa.array(numbers[chosen].astype(np.int32)),
+        "start": pa.array(points[start[chosen]] - base),
+        "end": pa.array(points[end[chosen]] - base),
+        "n_words": pa.array(count[chosen].astype(np.int32)),
+        "key": pa.array([blake2b(many.data[a:b], digest_size=16).digest() for a, b in zip(start[chosen], end[chosen], strict=True)], pa.binary()),
+        "bands": pa.ListArray.from_arrays(pa.array((np.arange(len(chosen) + 1) * bands).astype(np.int32)), pa.array(bound)),
+    }
+    at, marks = anchors(many.hashes, least, many.within(least))
+    holder = np.searchsorted(many.first[1:], at, "right")
+    line = np.searchsorted(start, many.start[at], "right") - 1
+    noted = {
+        "pos": pa.array((at - many.first[holder]).astype(np.int32)),
+        "line": pa.array(numbers[line].astype(np.int32)),
+        "h": pa.array(marks.view("int64")),
+    }
     return [
-        (int(k), int(starts[k]), int(starts[k]) + len(lines[k]), int(count[k]),
-         paragraph_key(lines[k].encode("utf-8", "surrogatepass")), keys[i])
-        for i, k in enumerate(chosen)
+        pa.array(np.diff(many.first)), pa.array(points[tails] - points[many.offsets]),
+        _lists(owner[chosen], n, found), _lists(holder, n, noted),
     ]
 
 
-def paragraphs(docs: DataFrame, size: int, least: int, bands: int, rows: int) -> DataFrame:
-    """(id string, doc_key, line, start, end, n_words, key, bands) of each paragraph."""
+def survey(docs: DataFrame, size: int, least: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_key, n_words, n_points, paragraphs (lines of ``least`` words and more) and anchors of each row, in one pass."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [
-                (i, k, *p)
-                for i, k, text in zip(frame["id"], frame["doc_key"], frame["text"], strict=True)
-                for p in _paragraphs_of(text, size, least, bands, rows)
-            ]
-            yield pd.DataFrame(out, columns=["id", "doc_key", "line", "start", "end", "n_words", "key", "bands"])
-
-    texts = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text"))
-    return texts.select("id", text_key(F.col("text")).alias("doc_key"), "text").mapInPandas(
-        run, "id string, doc_key binary, line int, start long, end long, n_words int, key binary, bands array<bigint>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            for low, high in portions(texts):
+                part = batch.slice(low, high - low)
+                made = _surveyed(texts[low:high], size, least, bands, rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *made], [*names])
+
+    names = ("doc_id", "text_key", "n_words", "n_points", "paragraphs", "anchors")
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(
+        run, f"doc_id {kind}, text_key binary, n_words long, n_points long, paragraphs array<struct<{_typed(PARAGRAPH)}>>, anchors array<struct<{_typed(ANCHOR)}>>"
     )
 
 
+def _typed(columns: str) -> str:
+    return ", ".join(c.strip().replace(" ", ":", 1) for c in columns.split(","))
+
+
 def _edit_likeness(a: str, b: str, least: float) -> float:
     """1 - Levenshtein distance / longer length; 0 once it must be under ``least``."""
     longest = max(len(a), len(b))
@@ -143,52 +169,44 @@ def _windows_of(text: str, size: int, hits: list[int], gone: list[int], near: li
     return [at, found, points[starts[at]], points[ends[at + size - 1] - 1] + 1, line[at], source[at]]
 
 
-def passages(docs: DataFrame, lines: DataFrame, size: int = MIN_WORDS) -> DataFrame:
-    """docs (doc_id, text, ...) and the lines that go (doc_id, doc_key, line, near: unlike the line that stays) -> doc_id, doc_key,
-    line, start, end, n_words, cluster_id, removed of all runs of ``size`` words and more that stand at two places outside those lines."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("doc_key", _place_key(text_key(F.col("text"))))
-    number = F.xxhash64("doc_id", "doc_key")
+def _number() -> Column:
+    """A number of a row's doc_id and text."""
+    return F.xxhash64("doc_id", "doc_key")
+
+
+def _repeated(rows: DataFrame, hashes: str = "h") -> DataFrame:
+    """The rows whose hash occurs in more than one. Counted in part before the shuffle; a hot hash's rows are joined to one row."""
+    common = rows.groupBy(hashes).agg(F.count("*").alias("n")).where("n > 1").select(hashes)
+    return rows.join(common.hint("merge"), hashes)
 
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            docs_of, parts = [], []
-            for doc, text in zip(frame["doc"], frame["text"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                spans = word_spans(data)
-                if len(spans[0]) < size:
-                    continue
-                at, found = anchors(word_hashes(data, spans), size)
-                line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), spans[0][at])
-                docs_of.append(doc)
-                parts.append((at, line, found.view("int64")))
-            if parts:
-                doc = np.repeat(np.array(docs_of, np.int64), [len(x[0]) for x in parts])
-                yield pd.DataFrame({"doc": doc, **dict(zip(("pos", "line", "h"), map(np.concatenate, zip(*parts, strict=True)), strict=True))})
 
-    chosen = texts.select(number.alias("doc"), "text").mapInPandas(choose, "doc long, pos int, line int, h long")
-    shared = lambda df: df.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").drop("n")
-    barred = lines.where("not near").select(number.alias("doc"), "line").distinct()
+def copies_of(seen: DataFrame, least: int) -> DataFrame:
+    """(doc_id, doc_key, text_key, first_id, n_words, n_points) of each row with ``least`` words or more whose text another doc_id has, too."""
+    rows = seen.where(F.col("n_words") >= least).select("doc_id", "doc_key", "text_key", "n_words", "n_points").distinct()
+    # a struct, as a null doc_id comes first
+    many = rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(many.hint("merge"), "text_key").select(*rows.columns, F.col("first.doc_id").alias("first_id"))
+
+
+def passages(held: DataFrame, anchored: DataFrame, lines: DataFrame, size: int = MIN_WORDS) -> DataFrame:
+    """All runs of ``size`` words and more that stand at two places outside the lines that go.
+
+    held (doc, doc_id, doc_key, text): the texts with an anchor that another place has, anchored (doc, pos, line, h): these
+    anchors; lines (doc, line, near: unlike the line that stays): those that go.
+    -> doc_id, doc_key, line, start, end, n_words, cluster_id, removed."""
+    kind = held.schema["doc_id"].dataType.simpleString()
+    barred = lines.where("not near").select("doc", "line").distinct()
     # a second count without the lines that go: most of what is shared is shared with these
-    left = shared(shared(chosen).join(barred.hint("merge"), ["doc", "line"], "left_anti"))
+    left = _repeated(spool(anchored.join(barred.hint("merge"), ["doc", "line"], "left_anti")))
     hits = left.groupBy("doc").agg(F.collect_set("pos").alias("hits"))
-    cuts = lines.groupBy(number.alias("doc")).agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
+    cuts = lines.groupBy("doc").agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
     noted = spool(hits.join(cuts, "doc", "left"))
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in frame["text"]])
-
-    packed = texts.select(F.col("doc_id").cast("string").alias("id"), "doc_key", number.alias("doc"), "text").mapInPandas(
-        pack, "id string, doc_key long, doc long, text binary"
-    )
     columns = ["pos", "h", "start", "end", "line", "source"]
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ids, doc_keys, parts = [], [], []
             for i, key, text, at, gone, near in zip(*(frame[c] for c in ("id", "doc_key", "text", "hits", "gone", "near")), strict=True):
-                text = zlib.decompress(text).decode("utf-8", "surrogatepass")
                 made = _windows_of(text, size, at, [] if gone is None else gone, [] if near is None else near)
                 if made is not None:
                     ids.append(i)
@@ -199,18 +217,18 @@ def passages(docs: DataFrame, lines: DataFrame, size: int = MIN_WORDS) -> DataFr
                 values = map(np.concatenate, zip(*parts, strict=True))
                 yield pd.DataFrame({"id": np.repeat(np.array(ids, object), times), "doc_key": np.repeat(doc_keys, times), **dict(zip(columns, values, strict=True))})
 
-    made = packed.join(noted.hint("merge"), "doc").mapInPandas(
-        windows, "id string, doc_key long, pos int, h long, start int, end int, line int, source boolean"
-    )
+    texts = held.select(F.col("doc_id").cast("string").alias("id"), "doc_key", "doc", "text").join(noted.hint("merge"), "doc")
+    made = texts.mapInPandas(windows, "id string, doc_key long, pos int, h long, start int, end int, line int, source boolean")
     place = F.struct("doc_id", "doc_key", "pos")
-    alike = Window.partitionBy("h")
+    rows = spool(made.withColumn("doc_id", F.col("id").cast(kind)).drop("id"))
     upon = lambda p: F.col("first.doc_id").eqNullSafe(p["doc_id"]) & (F.col("first.doc_key") == p["doc_key"]) & (p["pos"] < F.col("first.pos") + size)
     # a window that overlaps its own first place is no second one
-    rows = spool(
-        made.withColumn("doc_id", F.col("id").cast(kind)).withColumn("place", place)
-        .withColumn("first", F.min("place").over(alike)).withColumn("last", F.max(F.when(~F.col("source"), F.col("place"))).over(alike))
-        .where(~upon(F.col("last"))).withColumn("removed", ~upon(F.col("place"))).drop("id", "last", "place", "h")
+    alike = (
+        rows.groupBy("h").agg(F.min(place).alias("first"), F.max(F.when(~F.col("source"), place)).alias("last"))
+        .where(F.col("last").isNotNull() & ~upon(F.col("last"))).drop("last")
     )
+    found = spool(rows.join(alike.hint("merge"), "h").withColumn("removed", ~upon(place)).drop("h"))
+    release(rows, noted)
     order = Window.partitionBy("doc_id", "doc_key", "removed").orderBy("pos")
 
     def islands(df: DataFrame) -> DataFrame:
@@ -218,7 +236,7 @@ def passages(docs: DataFrame, lines: DataFrame, size: int = MIN_WORDS) -> DataFr
         return df.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order)).groupBy("doc_id", "doc_key", "removed", "island")
 
     origins = spool(
-        islands(rows.where("not removed"))
+        islands(found.where("not removed"))
         .agg(F.min("pos").alias("least"), F.max("pos").alias("most"))
         .select(
             F.col("doc_id").alias("o_id"), F.col("doc_key").alias("o_key"), "least", "most",
@@ -226,11 +244,12 @@ def passages(docs: DataFrame, lines: DataFrame, size: int = MIN_WORDS) -> DataFr
         )
     )
     spans = spool(
-        islands(rows.where("not source")).agg(
+        islands(found.where("not source")).agg(
             F.min("line").alias("line"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
             (F.max("pos") + size - F.min("pos")).alias("n_words"), F.min(F.struct("pos", "first"))["first"].alias("first"),
         )
     )
+    release(found)
     inside = (F.col("first.doc_key") == F.col("o_key")) & F.col("first.doc_id").eqNullSafe(F.col("o_id")) & F.col("first.pos").between(F.col("least"), F.col("most"))
     return spans.join(origins, inside).select("doc_id", "doc_key", "line", "start", "end", "n_words", "cluster_id", "removed")
 
@@ -247,36 +266,37 @@ def repeats(
     likeness: float = 0.8,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, doc_key, line, start, end, n_words, cluster_id, removed: a row
-    for each occurrence of a paragraph or passage whose cluster has more than one; start and end are code
-    points of the text, end exclusive; cluster_id is the hex key of the cluster's least paragraph or names the first
-    place of a passage; doc_key is the leading part of the text's key."""
+    for each occurrence of a paragraph, passage or whole text whose cluster has more than one; start and end are code
+    points of the text, end exclusive; cluster_id is the hex key of the cluster's least paragraph or of the text, or names
+    the first place of a passage; doc_key is the leading part of the text's key."""
     if measure not in ("jaccard", "edit"):
         raise ValueError("measure is jaccard or edit")
     bands, rows = tune_bands(threshold, miss, LANES)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = spool(paragraphs(docs, size, least, bands, rows).withColumn("doc_id", F.col("id").cast(kind)).drop("id"))
+    seen = spool(survey(docs, size, least, bands, rows).withColumn("doc_key", _place_key(F.col("text_key"))).withColumn("doc", _number()))
+    copies = spool(copies_of(seen, least))
+    again = copies.where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(_number().alias("doc"))
+    found = seen.select("doc_id", "doc_key", "doc", F.explode("paragraphs").alias("p")).select("doc_id", "doc_key", "doc", "p.*")
     place = F.struct("doc_id", "doc_key", "line")
     classes = spool(
-        found.groupBy("key").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.first("bands").alias("bands"))
+        found.groupBy("key").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.min(F.struct("doc_id", "doc_key", "line", "doc"))["doc"].alias("doc"), F.first("bands").alias("bands"))
     )
-    near = spool(candidate_components(classes.select("key", "bands")))
-    wanted = spool(near.join(classes.select(F.col("key").alias("node"), "at"), "node"))
-    by_doc = spool(
-        wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.doc_key").alias("_key")).agg(
-            F.collect_list(F.struct("node", "component", F.col("at.line").alias("line"))).alias("lines")
-        )
-    )
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("doc_key", text_key(F.col("text")))
-    # always by a shuffle, so that the plan is the same at every size
-    holders = texts.join(by_doc.hint("merge"), (texts.doc_key == by_doc._key) & texts.doc_id.eqNullSafe(by_doc._id))
-    split = F.split("text", "\n", -1)
-    members = holders.withColumn("all", split).select(F.explode("lines").alias("p"), "all").select(
+    near = candidate_components(classes.select("key", "bands"))
+    wanted = spool(near.join(classes.select(F.col("key").alias("node"), F.col("at.line").alias("line"), "doc"), "node"))
+    by_doc = spool(wanted.groupBy("doc").agg(F.collect_list(F.struct("node", "component", "line")).alias("lines")))
+    anchored = spool(_repeated(seen.select("doc", F.explode("anchors").alias("a")).select("doc", "a.*")).join(again.hint("merge"), "doc", "left_anti"))
+    # the texts that are looked at again move once; always by a shuffle, so that the plan is the same at every size
+    needed = by_doc.select("doc").union(anchored.select("doc")).distinct()
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("doc_key", _place_key(text_key(F.col("text")))).withColumn("doc", _number())
+    held = spool(texts.join(needed.hint("merge"), "doc"))
+    split = held.join(by_doc.hint("merge"), "doc").withColumn("all", F.split("text", "\n", -1))
+    members = split.select(F.explode("lines").alias("p"), "all").select(
         "p.node", "p.component", F.element_at("all", F.col("p.line") + 1).alias("text")
     )
     sizes = spool(wanted.groupBy("component").agg(F.count("*").alias("n")))
     basis = (threshold, size, bands, rows, tolerance, rows)
     checker = PairChecker(*basis) if measure == "jaccard" else EditChecker(likeness, *basis)
     links = spool(verified_links(into_blocks(members, block, sizes), checker))
+    release(by_doc, wanted, sizes)
     groups = components(links, "key", "peer").withColumnRenamed("node", "key")
     named = spool(
         classes.select("key", "at", "last")
@@ -289,13 +309,19 @@ def repeats(
     )
     marked = spool(named.select("key", "cluster", "at").join(heads, "cluster"))
     lines = spool(
-        found.drop("bands").join(marked, "key").select(
-            "doc_id", _place_key(F.col("doc_key")).alias("doc_key"), "line", "start", "end", "n_words",
+        found.drop("bands").join(marked, "key").join(again.hint("merge"), "doc", "left_anti").select(
+            "doc_id", "doc_key", "doc", "line", "start", "end", "n_words",
             F.lower(F.hex("cluster")).alias("cluster_id"), (~place.eqNullSafe(F.col("kept"))).alias("removed"),
             (F.col("at") != F.col("kept")).alias("near"),
         )
     )
-    return lines.drop("near").unionByName(passages(docs, lines.where("removed").select("doc_id", "doc_key", "line", "near"), least))
+    release(seen, classes, links, named, heads, marked)
+    spans = passages(held, anchored, lines.where("removed").select("doc", "line", "near"), least)
+    whole = copies.select(
+        "doc_id", "doc_key", F.lit(0).alias("line"), F.lit(0).cast("long").alias("start"), F.col("n_points").alias("end"),
+        F.col("n_words").cast("int").alias("n_words"), F.lower(F.hex("text_key")).alias("cluster_id"), (~F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("removed"),
+    )
+    return lines.drop("near", "doc").unionByName(spans).unionByName(whole)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

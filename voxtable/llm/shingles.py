@@ -7,9 +7,13 @@ that has words has one shingle, all its words; a text without words has none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
+#: Bytes hashed at once.
+PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -47,14 +51,61 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
+    """A 64-bit hash of each word, in order. Works through pieces of PIECE bytes, so that memory follows the number of words."""
     start, end = word_spans(data) if spans is None else spans
-    if not len(start):
-        return np.empty(0, U)
-    n = len(data)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * _power(_BASE, n), dtype=U, out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power(_INVERSE, n)[start] + (end - start).astype(U))
+    out = np.empty(len(start), U)
+    raw = np.frombuffer(data, np.uint8)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, low + PIECE, "right")))
+        n = int(end[to - 1]) - low
+        sums = np.zeros(n + 1, U)
+        np.cumsum(_BYTES[raw[low : low + n]] * _power(_BASE, n), dtype=U, out=sums[1:])
+        a, b = start[at:to] - low, end[at:to] - low
+        out[at:to] = mix((sums[b] - sums[a]) * _power(_INVERSE, n)[a] + (b - a).astype(U))
+        at = to
+    return out
+
+
+class Words:
+    """The words of several texts at once; texts are joined by line breaks, so no word and no line spans two.
+
+    start, end, hashes: each word's bytes in ``data`` and its hash; first: index of each text's first word,
+    with the number of all words at the end; offsets: where each text begins in ``data``.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.offsets = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        self.start, self.end = word_spans(self.data)
+        self.hashes = word_hashes(self.data, (self.start, self.end))
+        self.first = np.append(np.searchsorted(self.start, self.offsets), len(self.start))
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text) of every line, in bytes of ``data``; an empty text has one empty line."""
+        breaks = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
+        start = np.concatenate(([0], breaks + 1))
+        return start, np.append(breaks, len(self.data)), np.searchsorted(self.offsets, start, "right") - 1
+
+    def within(self, size: int) -> np.ndarray:
+        """Whether the window of ``size`` words at each word stays in its text."""
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        n = len(text) - size + 1
+        return text[:n] == text[size - 1 :] if n > 0 else np.empty(0, bool)
+
+
+def portions(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Runs of texts with ``most`` bytes at most, a longer text alone."""
+    at = used = 0
+    for i, t in enumerate(texts):
+        if i > at and used + len(t) > most:
+            yield at, i
+            at, used = i, 0
+        used += len(t) + 1
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def window_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -83,12 +134,16 @@ def minhash(items: np.ndarray, lanes: int) -> np.ndarray:
     return (least >> U(32)).astype(np.uint32)
 
 
-def minhash_runs(items: np.ndarray, starts: np.ndarray, lanes: int) -> np.ndarray:
-    """As minhash(), for the runs of ``items`` that begin at ``starts`` (none of them empty)."""
+def minhash_runs(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int) -> np.ndarray:
+    """As minhash(), for items[start:end] of each pair; ranges ascend, do not overlap and are not empty."""
     a, b = _LANES[:lanes] | U(1), _LANES[2048 : 2048 + lanes]
     out = np.empty((len(starts), lanes), np.uint32)
+    if not len(starts):
+        return out
+    cuts = np.column_stack((starts, ends)).ravel()
+    cuts = cuts[:-1] if cuts[-1] == len(items) else cuts
     for k in range(lanes):
-        out[:, k] = (np.minimum.reduceat(items * a[k] + b[k], starts) >> U(32)).astype(np.uint32)
+        out[:, k] = (np.minimum.reduceat(items * a[k] + b[k], cuts)[::2] >> U(32)).astype(np.uint32)
     return out
 
 
@@ -136,15 +191,18 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, size: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of windows of (size + 1) // 2 words, chosen by their content alone (the least of their
-    neighbourhood), so that equal runs of ``size`` words hold an equal choice at equal places."""
+    neighbourhood), so that equal runs of ``size`` words hold an equal choice at equal places. ``within`` tells which
+    windows of ``size`` words count, all of them by default."""
     part = (size + 1) // 2
     width = size - part + 1
     found = rolling_hashes(words, part)
     if len(found) < width:
         return np.empty(0, np.int64), np.empty(0, U)
     least = _sliding(found, width, np.minimum)
+    if within is not None:
+        least = np.where(within, least, U(0))
     pad = np.zeros(width - 1, U)
     at = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == found)
     return at, found[at]
