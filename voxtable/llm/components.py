@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import release, spool
 
 
 def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
@@ -13,9 +13,9 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataF
 
     Node ids may be of any orderable type. Self-loops and null ends are ignored; no edges give no
     rows. Both sides of every join are tables read from the shared folder, so that adaptive
-    execution may split a hub's rows; labels jump to their label's label each round, so the number
-    of rounds follows the logarithm of the longest chain. Nothing but a count of changes reaches
-    the driver.
+    execution may split a hub's rows; tables of a round go when the next is written. Labels jump to
+    their label's label each round, so the number of rounds follows the logarithm of the longest
+    chain. Nothing but a count of changes reaches the driver.
     """
     pairs = edges.select(F.col(left).alias("src"), F.col(right).alias("dst")).where("src <> dst")
     both = spool(pairs.union(pairs.select("dst", "src")).distinct())
@@ -24,6 +24,7 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataF
         .agg(F.min("dst").alias("least"))
         .select("node", F.least("node", "least").alias("component"))
     )
+    spare = [labels]
     if labels.isEmpty():
         return labels
     while True:
@@ -37,6 +38,8 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataF
         target = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = spool(step.join(target, "component").select("node", "old", F.col("further").alias("component")))
         changed = moved.where("old <> component").limit(1).count()
-        labels = moved.select("node", "component")
+        release(step, *spare)
+        labels, spare = moved.select("node", "component"), [moved]
         if not changed:
+            release(both)
             return labels

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, spool
+from .common import release, shuffle_parts, spool
 from .components import components
 from .shingles import band_keys, minhash, shingles
 
@@ -46,11 +46,22 @@ def least_matches(threshold: float, tolerance: float, lanes: int, step: int) ->
 
 def candidate_components(items: DataFrame) -> DataFrame:
     """items (key, bands) -> (node, component) of the graph that joins each bucket's members to its
-    least key. Keys alone in all their buckets do not appear."""
+    least key. Keys alone in all their buckets do not appear.
+
+    A key's edges, one a band at most, are thinned before the rounds: it keeps the edge to the least of
+    its buckets' first keys, and the other first keys are joined to that one. As a group's members share their first
+    keys, the edges that remain follow the members and not the bands.
+    """
     banded = items.select("key", F.explode("bands").alias("band"))
     shared = spool(banded.groupBy("band").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     stars = banded.join(shared, "band").where("key <> first")
-    return components(stars, "key", "first")
+    firsts = stars.groupBy("key").agg(F.min("first").alias("least"), F.collect_set("first").alias("firsts"))
+    # one group by key serves both kinds of edge
+    ends = F.filter("firsts", lambda x: x != F.col("least"))
+    edges = spool(firsts.select("least", F.explode(F.concat(F.array("key"), ends)).alias("src")).distinct())
+    found = components(edges, "src", "least")
+    release(shared, edges)
+    return found
 
 
 def into_blocks(members: DataFrame, block: int, sizes: DataFrame) -> DataFrame:

@@ -17,14 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spool, table, text_or_empty
+from .common import release, spool, table, text_or_empty
 from .components import components
 from .neardup import PairChecker, candidate_components, into_blocks, text_key, verified_links
-from .shingles import band_keys, minhash, shingles, tune_bands
+from .shingles import Words, band_keys, minhash, portions, tune_bands, window_hashes
 
 SIZE, THRESHOLD, MISS, LANES, TOLERANCE, STEP, BLOCK = 5, 0.8, 1e-4, 128, 1e-6, 24, 256
 
@@ -32,18 +33,25 @@ SIZE, THRESHOLD, MISS, LANES, TOLERANCE, STEP, BLOCK = 5, 0.8, 1e-4, 128, 1e-6,
 def _banded(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, key, bands) of each row; bands are null where a text has no words."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = []
-            for text in frame["text"]:
-                x = shingles(text, size)
-                found.append(band_keys(minhash(x, bands * rows), bands, rows).view("int64") if len(x) else None)
-            yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "bands": found})
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            keys, words = [], []
+            for low, high in portions(texts):
+                many = Words(texts[low:high])
+                for a, b in zip(many.first[:-1], many.first[1:], strict=True):
+                    words.append(b > a)
+                    if b > a:
+                        grams = np.unique(window_hashes(many.hashes[a:b], size))
+                        keys.append(band_keys(minhash(grams, bands * rows), bands, rows))
+            ends = np.cumsum(np.array([0, *words], np.int32) * bands, dtype=np.int32)
+            values = pa.array(np.concatenate([np.empty(0, np.uint64), *keys]).view("int64"))
+            lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~np.array(words, bool)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), lists], ["doc_id", "key", "bands"])
+
+    rows_in = docs.select("doc_id", text_or_empty().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows_in = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text"))
-    out = rows_in.select("id", text_key(F.col("text")).alias("key"), "text").mapInPandas(run, "id string, key binary, bands array<bigint>")
-    return out.select(F.col("id").cast(kind).alias("doc_id"), "key", "bands")
+    return rows_in.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key binary, bands array<bigint>")
 
 
 def join(
@@ -67,7 +75,7 @@ def join(
             F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")
         )
     )
-    near = spool(candidate_components(classes.where("bands is not null").select("key", "bands")))
+    near = candidate_components(classes.where("bands is not null").select("key", "bands"))
     wanted = spool(
         near.join(classes.select(F.col("key").alias("node"), "copy_of"), "node").select("node", "component", "copy_of")
     )
@@ -79,6 +87,7 @@ def join(
     sizes = spool(wanted.groupBy("component").agg(F.count("*").alias("n")))  # from the ids alone: texts are read once
     checker = PairChecker(threshold, size, bands, rows, tolerance, STEP)
     links = spool(verified_links(into_blocks(members, block, sizes), checker))
+    release(wanted, sizes)
     groups = components(links, "key", "peer")
     totals = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     named = (
