@@ -175,8 +175,9 @@ def _number() -> Column:
 
 
 def _repeated(rows: DataFrame, hashes: str = "h") -> DataFrame:
-    """The rows whose hash occurs in more than one. Counted in part before the shuffle; a hot hash's rows are joined to one row."""
-    common = rows.groupBy(hashes).agg(F.count("*").alias("n")).where("n > 1").select(hashes)
+    """The rows whose hash occurs in more than one. Counted in part before the shuffle; a hot hash's rows are joined to one
+    row of a table, a join that adaptive execution can split."""
+    common = spool(rows.groupBy(hashes).agg(F.count("*").alias("n")).where("n > 1").select(hashes))
     return rows.join(common.hint("merge"), hashes)
 
 
@@ -184,7 +185,7 @@ def copies_of(seen: DataFrame, least: int) -> DataFrame:
     """(doc_id, doc_key, text_key, first_id, n_words, n_points) of each row with ``least`` words or more whose text another doc_id has, too."""
     rows = seen.where(F.col("n_words") >= least).select("doc_id", "doc_key", "text_key", "n_words", "n_points").distinct()
     # a struct, as a null doc_id comes first
-    many = rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    many = spool(rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     return rows.join(many.hint("merge"), "text_key").select(*rows.columns, F.col("first.doc_id").alias("first_id"))
 
 
@@ -223,12 +224,12 @@ def passages(held: DataFrame, anchored: DataFrame, lines: DataFrame, size: int =
     rows = spool(made.withColumn("doc_id", F.col("id").cast(kind)).drop("id"))
     upon = lambda p: F.col("first.doc_id").eqNullSafe(p["doc_id"]) & (F.col("first.doc_key") == p["doc_key"]) & (p["pos"] < F.col("first.pos") + size)
     # a window that overlaps its own first place is no second one
-    alike = (
+    alike = spool(
         rows.groupBy("h").agg(F.min(place).alias("first"), F.max(F.when(~F.col("source"), place)).alias("last"))
         .where(F.col("last").isNotNull() & ~upon(F.col("last"))).drop("last")
     )
     found = spool(rows.join(alike.hint("merge"), "h").withColumn("removed", ~upon(place)).drop("h"))
-    release(rows, noted)
+    release(rows, noted, alike)
     order = Window.partitionBy("doc_id", "doc_key", "removed").orderBy("pos")
 
     def islands(df: DataFrame) -> DataFrame:
