@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import spool, table, text_or_empty
 
-MIN_WORDS, MAX_REPEAT, THRESHOLD, ROUNDS = 50, 0.5, 0.5, 20
+MIN_WORDS, MAX_REPEAT, THRESHOLD, ROUNDS = 50, 0.5, 0.5, 40
 SPACE = "[\\x20\\x09-\\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -142,8 +142,9 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[f
     """patterns (vote array<double>, n double), at most 3^10 rows -> (right, caught, prior).
 
     Each kind of bad text trips a rule or two, so rules start as rarely wrong about good documents
-    (0.99) and as seldom catching bad ones (0.15). The bounds keep a rule from being taken for its
-    opposite: right in 0.98..0.999, caught in 0.05..0.95, the prior in 0.5..0.97.
+    (0.99) and as seldom catching bad ones (0.15), which also tells the classes apart. Bounds only keep
+    logarithms finite and one rule from deciding alone for good: right in 0.5..0.999, caught in 0.01..0.99,
+    the prior in 0.01..0.99.
     """
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("vote", "n"))).alias("rows"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
@@ -157,19 +158,19 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[f
             def right(k: Column) -> Column:
                 yes = zipped(lambda r, g: F.when(r["vote"][k] > 0, r["n"] * g).otherwise(0.0), p)
                 spoke = zipped(lambda r, g: F.when(r["vote"][k] != 0, r["n"] * g).otherwise(0.0), p)
-                return clamp((yes + 0.99) / (spoke + 1), 0.98, 0.999)
+                return clamp((yes + 0.99) / (spoke + 1), 0.5, 0.999)
 
             def caught(k: Column) -> Column:
                 no = zipped(lambda r, g: F.when(r["vote"][k] < 0, r["n"] * (1 - g)).otherwise(0.0), p)
                 spoke = zipped(lambda r, g: F.when(r["vote"][k] != 0, r["n"] * (1 - g)).otherwise(0.0), p)
-                return clamp((no + 0.15) / (spoke + 1), 0.05, 0.95)
+                return clamp((no + 0.15) / (spoke + 1), 0.01, 0.99)
 
             prior = (zipped(lambda r, g: r["n"] * g, p) + 0.8) / (total(F.transform("rows", lambda r: r["n"])) + 1)
             rules = F.sequence(F.lit(0), F.lit(n_rules - 1))
             return F.struct(
                 F.transform(rules, right).alias("right"),
                 F.transform(rules, caught).alias("caught"),
-                clamp(prior, 0.5, 0.97).alias("prior"),
+                clamp(prior, 0.01, 0.99).alias("prior"),
             )
 
         return let(good, updated)
@@ -210,12 +211,10 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_R
 
 
 def keep(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are kept. Texts are measured twice, for the fit and for the verdict, and never move."""
-    model = fit(counted(voted(docs.select("text"))), len(votes()))
-    judged = verdicts(voted(docs), model, min_words, max_repeat, threshold)
-    # a filter would be pushed below the measures and repeat them for each use; one on what explode gives is not
-    chosen = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
-    return chosen.where("row is not null").select("row.*")
+    """The rows of docs that are kept. Texts are measured once; the rows wait beside their votes in the shared folder for the fit."""
+    seen = spool(voted(docs).select("row", "n_words", "n_repeat_words", "vote"))
+    judged = verdicts(seen, fit(counted(seen), len(votes())), min_words, max_repeat, threshold)
+    return judged.where("kept").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
