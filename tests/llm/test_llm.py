@@ -127,6 +127,17 @@ def test_quality_learns_and_holds_out(spark):
     assert (ids == 0).all()
 
 
+def test_quality_stage_keeps_columns(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    clashing = documents.select("*", *[F.lit(7).alias(c) for c in ("score", "_score", "Predicted", "row", "held_out")])
+    kept = compression_quality.keep_stage(spark, clashing.union(clashing.limit(3)), DATA)
+    assert kept.columns == clashing.columns
+    assert kept.where("score <> 7 or _score <> 7 or predicted <> 7").isEmpty() and not kept.isEmpty()
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = compression_quality.fit(documents.unionByName(documents.withColumn("text", F.repeat("text", 100))), labels)
+    assert model.weights and 0 < model.share < 1
+
+
 def test_quality_of_awkward_rows(spark):
     model = compression_quality.fit_texts([f"good plain words number {i}" for i in range(40)], [f"$$$ %%% {i} ###" for i in range(40)])
     out = compression_quality.score(awkward(spark, "x" * 300_000).drop("score"), model).collect()
@@ -589,6 +600,37 @@ def test_rules_part_labelled_documents(spark):
     assert own[own.quality == 1].kept.mean() > 0.97 and own[own.quality == 0].kept.mean() < 0.1
 
 
+def em_by_hand(patterns, n, rounds):
+    """(right, caught, prior) by the textbook, with numpy."""
+    votes = np.array(patterns)
+    good, bad, spoke = votes > 0, votes < 0, votes != 0
+    right, caught, prior = np.full(votes.shape[1], 0.99), np.full(votes.shape[1], 0.15), 0.8
+    for _ in range(rounds):
+        weight = np.log(prior / (1 - prior)) + good @ np.log(right / (1 - caught)) + bad @ np.log((1 - right) / caught)
+        p = 1 / (1 + np.exp(-weight))
+        a, b = n * p, n * (1 - p)
+        right = np.clip((a @ good + 0.99) / (a @ spoke + 1), 0.5, 0.999)
+        caught = np.clip((b @ bad + 0.15) / (b @ spoke + 1), 0.01, 0.99)
+        prior = np.clip((a.sum() + 0.8) / (n.sum() + 1), 0.01, 0.99)
+    return right, caught, prior
+
+
+@pytest.mark.parametrize("share", [0.8, 0.3])
+def test_rules_recover_accuracies(spark, share):
+    rng = np.random.default_rng(1)
+    good = rng.random(8000) < share
+    right = np.array([0.9, 0.99, 0.95, 0.995, 0.97, 0.99, 0.99, 0.98])
+    caught = np.array([0.5, 0.3, 0.6, 0.2, 0.4, 0.5, 0.3, 0.6])
+    votes = np.where(rng.random((8000, 8)) < np.where(good[:, None], 1 - right, caught), -1.0, 1.0)
+    votes = np.where(rng.random(votes.shape) < 0.1, 0.0, votes)
+    counts = Counter(map(tuple, votes.tolist()))
+    patterns = spark.createDataFrame([(list(v), float(n)) for v, n in counts.items()], "vote array<double>, n double")
+    found = quality_rules.fit(patterns, 8, rounds=30)
+    for mine, hand in zip(found, em_by_hand(list(counts), np.array(list(counts.values()), float), 30), strict=True):
+        assert np.allclose(mine, hand, atol=1e-6)
+    assert np.abs(np.array(found[0]) - right).max() < 0.03 and np.abs(np.array(found[1]) - caught).max() < 0.08 and abs(found[2] - share) < 0.05
+
+
 def test_rules_run_no_python(spark):
     out = quality_rules.op10_quality_rules(spark, DATA)
     plan = out._jdf.queryExecution().executedPlan().toString()
