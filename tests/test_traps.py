@@ -1,13 +1,17 @@
 """Cases whose answers are known by hand."""
 
+import itertools
 import math
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxtable.functions import numbers as N
 from voxtable.functions import text as T
 from voxtable.operators import aggregates as A
-from voxtable.operators import folds
+from voxtable.operators import decode, folds
 from voxtable.operators import intervals as J
 from voxtable.operators import sequences as W
 
@@ -74,6 +78,41 @@ def test_mapping_of_one_label(spark):
     assert (r.mask, r.accuracy) == (0, 0.0)
 
 
+@pytest.mark.parametrize("seconds", [[(3, 1), (1, 3)] * 8, [(1, 2), (2, 2), (0, 1)], [(2, 1), (3, 1), (2, 1)], [(1, 1), (1, 1)], [(0, 0)] * 3, [(5, 5 + i % 3) for i in range(11)]])
+def test_mapping_of_labels_by_brute_force(spark, seconds):
+    rows = [(f"l{i:02d}", g, float(x)) for i, pair in enumerate(seconds) for g, x in zip((1, 0), pair, strict=True)]
+    (r,) = A.best_mapping(spark.createDataFrame(rows, "label string, gold int, seconds double")).collect()
+    total = sum(map(sum, seconds)) or 1
+    n = len(seconds)
+    scores = {m: sum(x[0] if m >> i & 1 else x[1] for i, x in enumerate(seconds)) / total for m in range(1, 2**n - 1)}
+    best = max(scores.values())
+    assert r.mask == min(m for m, s in scores.items() if abs(s - best) < 1e-12) and abs(r.accuracy - best) < 1e-9
+    assert r.labels == [f"l{i:02d}" for i in range(n) if r.mask >> i & 1]
+
+
+def test_speaker_mapping_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        refs, hyps = "ABCD"[: rng.randrange(1, 5)], "wxyz"[: rng.randrange(1, 5)]
+        counts = {(r, h): rng.randrange(4) for r in refs for h in hyps}
+        if len(hyps) <= len(refs):
+            options = [dict(zip(hyps, order, strict=True)) for order in itertools.permutations(refs, len(hyps))]
+        else:
+            options = [dict(zip(hyps, order, strict=True)) for order in itertools.product(refs, repeat=len(hyps))]
+        wanted = max(options, key=lambda m: sum(counts[r, h] for h, r in m.items()))
+        assert decode.best_speaker_mapping(counts) == (wanted, sum(counts[r, h] for h, r in wanted.items()))
+    assert decode.best_speaker_mapping({(f"r{i}", f"h{i}"): 1 for i in range(14)})[1] == 14
+
+
+def test_sessions_decode_alike_alone_and_together():
+    rng = np.random.default_rng(5)
+    parts = [(rng.dirichlet(np.ones(3), n), rng.random(n)) for n in (40, 1, 7, 0, 90, 40)]
+    together = decode.resegment_many([p for p, _ in parts], [v for _, v in parts], 2.0)
+    for (p, v), (mixed, path) in zip(parts, together, strict=True):
+        alone = decode.resegment(p, v, 2.0)
+        assert np.array_equal(alone[0], mixed) and np.array_equal(alone[1], path)
+
+
 def test_scores_of_empty_masks(spark):
     m = spark.createDataFrame([(False, False)], "a boolean, b boolean")
     (r,) = A.mask_scores(m, "a", "b").collect()
@@ -92,6 +131,18 @@ def test_lenient_casts(spark):
     assert [tuple(r) for r in out] == [(3.5, None), (3.0, 3), (1.0, None), (None, None), (None, None)]
 
 
+def test_marks_are_cleaned(spark):
+    cases = {"どう? 。": "どう？", "終わり。 ？": "終わり？", "。。 テスト??": " テスト？", "  a": "  a", "　、b": "b", "えっ！ ！": "えっ！", "x.．?": "x.？", None: None, "": ""}
+    rows = spark.createDataFrame(list(cases.items()), "a string, b string").select("b", T.clean_punctuation(F.col("a")).alias("c")).collect()
+    assert [r.c for r in rows] == [r.b for r in rows]
+
+
+def test_spaces_between_wide_letters(spark):
+    cases = {"Ａ Ｂ": "Ａ Ｂ", "㐀  豈 あ x": "㐀豈あ x", "。 「": "。「"}
+    rows = spark.createDataFrame(list(cases.items()), "a string, b string").select("b", T.drop_cjk_spaces(F.col("a")).alias("c")).collect()
+    assert [r.c for r in rows] == [r.b for r in rows]
+
+
 def test_timecode_past_a_day(spark):
     d = spark.createDataFrame([(90061.0009,), (-3.0,)], "x double").select(T.timecode(F.col("x")).alias("c"))
     assert [r.c for r in d.collect()] == ["25:01:01,000", "00:00:00,000"]

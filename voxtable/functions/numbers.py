@@ -33,21 +33,36 @@ def to_int16(x: Column) -> Column:
     return (clamp(x, -1.0, 1.0) * 32767).cast("smallint")
 
 
+def _kind_and_text(json: Column, path: str) -> tuple[Column, Column]:
+    """The JSON type of a value and the value as text, both null where there is none."""
+    found = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return F.schema_of_variant(found), F.get_json_object(json, path)
+
+
 def lenient_double(json: Column, path: str) -> Column:
-    """A JSON value as a double: numbers and numeric strings, true and false as 1 and 0, else null."""
-    raw = F.get_json_object(json, path)
-    return F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
+    """A JSON value as a double: numbers, strings that hold one, true and false as 1 and 0, else null."""
+    kind, raw = _kind_and_text(json, path)
+    numeric = raw.rlike(r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$")
+    written = F.when(numeric, F.trim(raw).try_cast("double"))
+    return F.when(kind == "BOOLEAN", (raw == "true").cast("double")).when(kind == "STRING", written).otherwise(raw.try_cast("double"))
 
 
 def lenient_int(json: Column, path: str) -> Column:
-    """As an int only where the value is a whole number, in digits or as a string; booleans are null."""
-    raw = F.get_json_object(json, path)
-    return F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(raw).try_cast("bigint"))
+    """As an int: whole numbers, 3.0 too, and strings of digits; booleans, fractions and other strings are null."""
+    kind, raw = _kind_and_text(json, path)
+    number = raw.try_cast("double")
+    digits = F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(raw).try_cast("bigint"))
+    whole = F.when(number == F.floor(number), raw.try_cast("decimal(38,10)").try_cast("bigint"))
+    return F.when(kind == "BOOLEAN", None).when(kind == "STRING", digits).otherwise(F.coalesce(digits, whole))
 
 
 def lenient_boolean(json: Column, path: str) -> Column:
-    raw = F.lower(F.trim(F.get_json_object(json, path)))
-    return F.when(raw.isin("true", "1", "yes"), True).when(raw.isin("false", "0", "no"), False)
+    """As a boolean: true and false, the numbers 1 and 0, and the usual words for them."""
+    kind, raw = _kind_and_text(json, path)
+    word = F.lower(F.trim(raw))
+    number = raw.try_cast("double")
+    written = F.when(word.isin("true", "t", "1", "yes", "y"), True).when(word.isin("false", "f", "0", "no", "n"), False)
+    return F.when(kind.isin("STRING", "BOOLEAN"), written).when(number == 1, True).when(number == 0, False)
 
 
 def first_key(json: Column, *keys: str) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Ranges of the CJK characters between which spaces go, and sentence-final marks.
-CJK = "\\u3000-\\u303F\\u3040-\\u309F\\u30A0-\\u30FF\\u4E00-\\u9FFF\\uFF00-\\uFFEF"
+CJK = "\\u3000-\\u303F\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF"
 FINAL_MARKS = "?？。.！!"
+# Marks that neither lead nor repeat, and full stops that yield to a question mark.
+MARKS = "。．.?？!！、，"
+STOPS = "。．."
+WHITE = "[\\p{IsWhite_Space}\\x1C-\\x1F]"
 
 
 def drop_cjk_spaces(text: Column) -> Column:
@@ -16,13 +20,14 @@ def drop_cjk_spaces(text: Column) -> Column:
 
 
 def clean_punctuation(text: Column) -> Column:
-    """No leading marks, no repeated marks, one kind of question mark, no full stop beside it."""
+    """No leading marks, no mark repeated (white space between does not matter), one kind of question mark, no full
+    stop beside it. Leading white space goes only with marks after it."""
     for pattern, new in (
-        ("^[、。，．,.！!？?\\s]+", ""),
-        ("([、。，．,.！!？?])(\\s*\\1)+", "$1"),
+        (f"^{WHITE}*[{MARKS}]+", ""),
+        (f"([{MARKS}])(?:{WHITE}*\\1)+", "$1"),
         ("[?？]+", "？"),
-        ("？。", "？"),
-        ("。？", "？"),
+        (f"？{WHITE}*[{STOPS}]", "？"),
+        (f"[{STOPS}]{WHITE}*？", "？"),
     ):
         text = F.regexp_replace(text, pattern, new)
     return text

@@ -68,25 +68,32 @@ def confusion(grid: DataFrame, gold: str, predicted: str, dt: float = 1.0, by: t
     return grid.groupBy(*by, gold, predicted).agg((F.count("*") * F.lit(dt)).alias("seconds"))
 
 
-def best_mapping(pairs: DataFrame, most_labels: int = 12) -> DataFrame:
-    """Pairs (label, gold 0/1, seconds) -> (mask, accuracy): which labels are role 1, the empty and the full set
-    left out, the first of equal accuracy. Labels, in order, are bits; with fewer than two labels accuracy is
-    0 and the mask 0. One row; labels are few by nature."""
+def best_mapping(pairs: DataFrame) -> DataFrame:
+    """Pairs (label, gold 0/1, seconds) -> (mask, labels, accuracy): which labels are role 1, the empty and the full set
+    left out, the least mask of equal accuracy. Labels, in order, are bits (the mask is null beyond 62 labels, ``labels`` names them in any
+    case); with fewer than two labels accuracy and mask are 0. One row.
+
+    Each label goes where most of its time is; if that makes the empty or the full set, the label that loses least changes sides."""
     per = pairs.groupBy("label").agg(
         F.sum(F.when(F.col("gold") == 1, F.col("seconds")).otherwise(0.0)).alias("one"),
         F.sum(F.when(F.col("gold") == 0, F.col("seconds")).otherwise(0.0)).alias("zero"),
     )
-    listed = per.agg(F.sort_array(F.collect_list(F.struct("label", "one", "zero"))).alias("rows"))
+    listed = per.agg(F.sort_array(F.collect_list(F.struct("label", "one", "zero"))).alias("rows"), F.sum(F.col("one") + F.col("zero")).alias("all"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    # rounded, so that ties are ties; the position breaks them in favour of the least mask
+    gain = F.transform("rows", lambda r, i: F.struct(F.round(F.coalesce((r["one"] - r["zero"]) / F.nullif("all", F.lit(0.0)), F.lit(0.0)), 12).alias("g"), (-i).alias("back")))
     k = F.size("rows")
-    masks = listed.where(k <= most_labels).withColumn("mask", F.explode(F.when(k < 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), (F.pow(F.lit(2), k) - 2).cast("int")))))
-    right = F.aggregate(
-        F.transform("rows", lambda r, i: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0, r["one"]).otherwise(r["zero"])),
-        F.lit(0.0), lambda s, x: s + x,
-    )
-    all_ = F.aggregate(F.transform("rows", lambda r: r["one"] + r["zero"]), F.lit(0.0), lambda s, x: s + x)
-    scored = masks.select("mask", F.when(k < 2, F.lit(0.0)).otherwise(right / all_).alias("accuracy"))
-    return scored.agg(F.max(F.struct(F.round("accuracy", 12).alias("accuracy"), (-F.col("mask")).alias("back"))).alias("b")).select(
-        (-F.col("b.back")).alias("mask"), F.col("b.accuracy").alias("accuracy")
+    gained = listed.select("rows", "all", gain.alias("gain"), k.alias("k"))
+    n = F.size(F.filter("gain", lambda x: x["g"] > 0))
+    moved = F.when(n == 0, -F.array_max("gain")["back"]).when(n == F.col("k"), -F.array_min("gain")["back"]).otherwise(-1)
+    sided = gained.withColumn("moved", moved).withColumn("yes", F.transform("gain", lambda x: (x["g"] > 0) != (-x["back"] == F.col("moved"))))
+    right = total(F.zip_with("rows", "yes", lambda r, y: F.when(y, r["one"]).otherwise(r["zero"])))
+    bits = F.aggregate("gain", F.lit(0).cast("long"), lambda s, x: s + F.when(F.get("yes", -x["back"]), F.call_function("shiftleft", F.lit(1).cast("long"), -x["back"])).otherwise(F.lit(0).cast("long")))
+    few = F.col("k") < 2
+    return sided.select(
+        F.when(few, F.lit(0).cast("long")).when(F.col("k") <= 62, bits).alias("mask"),
+        F.transform(F.filter("rows", lambda r, i: ~few & F.get("yes", i)), lambda r: r["label"]).alias("labels"),
+        F.when(few, 0.0).otherwise(F.round(F.coalesce(right / F.nullif("all", F.lit(0.0)), F.lit(0.0)), 12)).alias("accuracy"),
     )
 
 

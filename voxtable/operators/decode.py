@@ -18,7 +18,7 @@ from ..config import AlignSettings
 SESSION = "session"
 
 
-def per_session(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: str = "i", key: str = SESSION) -> DataFrame:
+def per_session(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: str | list[str] = "i", key: str = SESSION) -> DataFrame:
     """``run`` on each session's rows in order; it returns the columns of ``schema`` without the session."""
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -57,32 +57,49 @@ def certainty(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p.argmax(axis=1), gap, entropy / np.log(p.shape[1]) if p.shape[1] > 1 else np.zeros(len(p))
 
 
-def resegment(p: np.ndarray, vad: np.ndarray | None, hz: float, stay_speech: float = 0.998, stay_silence: float = 0.9995,
-              speech: float = 0.35, hard: float = 0.2, least_run: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """V1: (posterior mixed with the decoded path, path) of a Viterbi search with sticky speakers."""
-    n, k = p.shape
-    if not n or not k:
-        return p, np.empty(0, np.int64)
-    p = normalised(p, 1e-8)
+def resegment(p: np.ndarray, vad: np.ndarray | None, hz: float, **options) -> tuple[np.ndarray, np.ndarray]:
+    """V1 for one session."""
+    return resegment_many([p], [vad], hz, **options)[0]
+
+
+def resegment_many(posteriors: list[np.ndarray], vads: list[np.ndarray | None], hz: float, stay_speech: float = 0.998, stay_silence: float = 0.9995,
+                   speech: float = 0.35, hard: float = 0.2, least_run: float = 1.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """V1: (posterior mixed with the decoded path, path) of a Viterbi search with sticky speakers, for sessions of equally
+    many speakers at once: a step takes one frame of every session that still goes on."""
+    k = posteriors[0].shape[1]
+    order = sorted((m for m, p in enumerate(posteriors) if len(p)), key=lambda m: -len(posteriors[m]))
+    out = [(p, np.empty(0, np.int64)) for p in posteriors]
+    if not k or not order:
+        return out
+    sizes = np.array([len(posteriors[m]) for m in order])
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    p = normalised(np.concatenate([posteriors[m] for m in order]), 1e-8)
     emit = np.log(p)
 
     def moves(stay: float) -> np.ndarray:
         if k == 1:
             return np.zeros((1, 1))
-        out = np.full((k, k), np.log(max((1 - stay) / (k - 1), 1e-8)))
-        np.fill_diagonal(out, np.log(max(stay, 1e-8)))
-        return out
-
-    by_kind = (moves(stay_speech), moves(stay_silence))
-    quiet = np.zeros(n, int) if vad is None or len(vad) != n else (vad < speech).astype(int)
-    score, back = emit[0] - np.log(k), np.zeros((n, k), np.int64)
-    for t in range(1, n):
-        reach = score[:, None] + by_kind[quiet[t]]
-        back[t] = reach.argmax(axis=0)
-        score = reach.max(axis=0) + emit[t]
-    path = absorb_short_runs(traced(back, int(score.argmax())), emit, int(round(least_run * hz)))
-    mixed = (1 - hard) * p + hard * np.eye(k)[path]
-    return mixed / mixed.sum(axis=1, keepdims=True), path
+        table = np.full((k, k), np.log(max((1 - stay) / (k - 1), 1e-8)))
+        np.fill_diagonal(table, np.log(max(stay, 1e-8)))
+        return table
+
+    by_kind = np.stack((moves(stay_speech), moves(stay_silence)))
+    known = [vads[m] is not None and len(vads[m]) == n for m, n in zip(order, sizes, strict=True)]
+    quiet = np.concatenate([(vads[m] < speech).astype(int) if ok else np.zeros(n, int) for m, n, ok in zip(order, sizes, known, strict=True)])
+    score, back = emit[first] - np.log(k), np.zeros((len(p), k), np.int64)
+    going = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # sessions longer than t come first
+    for t in range(1, int(sizes[0])):
+        n = int(going[t])
+        at = first[:n] + t
+        reach = score[:n, :, None] + by_kind[quiet[at]]
+        back[at] = reach.argmax(axis=1)
+        score[:n] = reach.max(axis=1) + emit[at]
+    for m, low, n, last in zip(order, first, sizes, score.argmax(axis=1), strict=True):
+        part = slice(low, low + n)
+        path = absorb_short_runs(traced(back[part], int(last)), emit[part], int(round(least_run * hz)))
+        mixed = (1 - hard) * p[part] + hard * np.eye(k)[path]
+        out[m] = mixed / mixed.sum(axis=1, keepdims=True), path
+    return out
 
 
 def run_bounds(path: np.ndarray) -> np.ndarray:
@@ -350,15 +367,50 @@ def align_tokens(a: list[str], b: list[str], match: int = 2, mismatch: int = -1,
     return out[::-1]
 
 
+def assignment(gain: np.ndarray) -> list[int]:
+    """The column of each row, all different, with the greatest sum; rows are no more than columns. Shortest augmenting
+    paths with potentials, cubic."""
+    n, m = gain.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], j, least, way, used = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while True:
+            used[j] = True
+            reduced = -gain[owner[j] - 1] - u[owner[j]] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better], way[1:][better] = reduced[better], j
+            free = np.where(used, np.inf, least)
+            free[0] = np.inf
+            after = int(free.argmin())
+            step = free[after]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            j = after
+            if not owner[j]:
+                break
+        while j:
+            owner[j] = owner[way[j]]
+            j = way[j]
+    return [int(np.flatnonzero(owner[1:] == i)[0]) for i in range(1, n + 1)]
+
+
 def best_speaker_mapping(counts: dict[tuple[str, str], int]) -> tuple[dict[str, str], int]:
     """The mapping of hypothesis speakers to reference speakers with the most equal-word tokens, one to one if there are
-    no more of the former, else each to its best. counts[(reference, hypothesis)]."""
-    from itertools import permutations
-
+    no more of the former, else each to its best; of equal mappings the first in order. counts[(reference, hypothesis)]."""
     refs, hyps = sorted({r for r, _ in counts}), sorted({h for _, h in counts})
+    best: dict[str, str] = {}
     if len(hyps) <= len(refs):
-        options = ({h: r for h, r in zip(hyps, order, strict=True)} for order in permutations(refs, len(hyps)))
-        best = max(options, key=lambda m: sum(counts.get((r, h), 0) for h, r in m.items()), default={})
+        gain = np.array([[counts.get((r, h), 0) for r in refs] for h in hyps], float).reshape(len(hyps), len(refs))
+        total = lambda g: sum(g[i, j] for i, j in enumerate(assignment(g)))
+        most, left = total(gain), list(range(len(refs)))
+        for i, h in enumerate(hyps):
+            for j in left:  # the first reference that still reaches the most
+                others = [x for x in left if x != j]
+                rest = gain[i + 1 :][:, others]
+                if abs(gain[i, j] + (total(rest) if len(rest) else 0) - most) < 1e-9:
+                    break
+            best[h], left, most = refs[j], others, most - gain[i, j]
     else:  # without the one-to-one rule each speaker is mapped on its own
         best = {h: max(refs, key=lambda r: counts.get((r, h), 0)) for h in hyps}
     return best, sum(counts.get((r, h), 0) for h, r in best.items())
@@ -367,11 +419,17 @@ def best_speaker_mapping(counts: dict[tuple[str, str], int]) -> tuple[dict[str,
 def resegmented(frames: DataFrame, hz: float) -> DataFrame:
     """frames (session, i, vad, p) -> session, i, path, p of V1."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mixed, path = resegment(matrix(pdf["p"]), pdf["vad"].to_numpy(float), hz)
-        return pd.DataFrame({"i": pdf["i"], "path": path.astype("int32"), "p": list(mixed)})
+    def run(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        speakers = [matrix(pdf["p"]) for pdf in parts]
+        out: list[pd.DataFrame] = [pd.DataFrame()] * len(parts)
+        for k in {p.shape[1] for p in speakers}:
+            same = [m for m, p in enumerate(speakers) if p.shape[1] == k]
+            made = resegment_many([speakers[m] for m in same], [parts[m]["vad"].to_numpy(float) for m in same], hz)
+            for m, (mixed, path) in zip(same, made, strict=True):
+                out[m] = pd.DataFrame({"i": parts[m]["i"], "path": path.astype("int32"), "p": list(mixed)})
+        return out
 
-    return per_session(frames.select(SESSION, "i", "vad", "p"), run, "i long, path int, p array<double>")
+    return by_batches(frames.select(SESSION, "i", "vad", "p"), run, "i long, path int, p array<double>")
 
 
 def by_batches(df: DataFrame, run: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], schema: str, order: str = "i", rows: int = 100_000) -> DataFrame:

@@ -40,19 +40,16 @@ def smoothed_by_confidence(segments: DataFrame, longest: float = 3.0, margin: fl
 def _relabelled(segments: DataFrame, may_change) -> DataFrame:
     """Islands take their neighbours' speaker where ``may_change``; ``_old`` is the speaker before."""
     s = segments.withColumn("_may", F.coalesce(may_change, F.lit(False)))
-    row = F.struct("t0", "seg_idx", "_may", "speaker")
-    listed = s.groupBy(SESSION).agg(F.sort_array(F.collect_list(row)).alias("_a"))
-    n = F.size("_a")
-
-    def step(done, i):
-        here, after = F.col("_a")[i], F.get("_a", i + 1)["speaker"]
-        before = F.get(done, i - 1)
-        island = here["_may"] & (i > 0) & (i < n - 1) & (before == after) & (before != here["speaker"])
-        return F.concat(done, F.array(F.when(F.coalesce(island, F.lit(False)), before).otherwise(here["speaker"])))
-
-    labels = F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<string>"), step)
-    new = listed.select(SESSION, F.explode(F.zip_with("_a", labels, lambda a, x: F.struct(a["seg_idx"].alias("seg_idx"), x.alias("_x")))).alias("_z"))
-    fixed = s.join(new.select(SESSION, "_z.seg_idx", "_z._x"), [SESSION, "seg_idx"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        who, may = pdf["speaker"].tolist(), pdf["_may"].tolist()
+        for n in range(1, len(who) - 1):
+            if may[n] and who[n - 1] == who[n + 1] != who[n] and None not in (who[n - 1], who[n]):
+                who[n] = who[n - 1]
+        return pd.DataFrame({"seg_idx": pdf["seg_idx"], "_x": who})
+
+    new = per_session(s.select(SESSION, "seg_idx", "t0", "_may", "speaker"), run, "seg_idx long, _x string", ["t0", "seg_idx"])
+    fixed = s.join(new, [SESSION, "seg_idx"])
     return fixed.withColumns({"_old": F.col("speaker"), "speaker": F.col("_x")}).drop("_x", "_may")
 
 

@@ -63,14 +63,15 @@ def w10(spark, d):
     return rounded(folds.ema(S.frames(spark, d), "vad", 0.3), "ema")
 
 
-@query("W16_reassign", f"""WITH RECURSIVE {SEG}{TURNS}{ACOS.replace("FROM seg", "FROM tn")}, rk AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY round(seconds, 9) DESC, first_seen, speaker) AS rank FROM sp), kp AS (SELECT session, speaker, rank FROM rk WHERE rank <= 1),
-ix AS (SELECT t.*, row_number() OVER w AS n, lead(t.speaker) OVER w AS nx, lead(t.t0) OVER w AS n0, k.speaker IS NOT NULL AS kept, h.speaker AS head FROM tn t LEFT JOIN kp k ON k.session = t.session AND k.speaker = t.speaker LEFT JOIN kp h ON h.session = t.session AND h.rank = 1 WINDOW w AS (PARTITION BY t.session ORDER BY t.t0)),
-r AS (SELECT session, n, seg_idx, t0, t1, CASE WHEN kept THEN speaker ELSE head END AS sp FROM ix WHERE n = 1 UNION ALL
-  SELECT ix.session, ix.n, ix.seg_idx, ix.t0, ix.t1, CASE WHEN ix.kept THEN ix.speaker ELSE ix.head END FROM r JOIN ix ON ix.session = r.session AND ix.n = r.n + 1)
+@query("W16_reassign", f"""WITH RECURSIVE {SEG}{TURNS}{ACOS.replace("FROM seg", "FROM tn")}, rk AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY round(seconds, 9) DESC, first_seen, speaker) AS rank FROM sp), kp AS (SELECT session, speaker, rank FROM rk WHERE rank <= 2),
+ix AS (SELECT t.*, row_number() OVER w AS n, lead(t.speaker) OVER w AS nx, lead(t.t0) OVER w AS n0, lead(t.t1) OVER w AS n1, lag(t.t0) OVER w AS p0, lag(t.t1) OVER w AS p1, k.speaker IS NOT NULL AS kept, h.speaker AS head FROM tn t LEFT JOIN kp k ON k.session = t.session AND k.speaker = t.speaker LEFT JOIN kp h ON h.session = t.session AND h.rank = 1 WINDOW w AS (PARTITION BY t.session ORDER BY t.t0)),
+jx AS (SELECT ix.*, k.speaker AS right_, greatest(0, ix.t0 - p1, p0 - ix.t1) AS gl, greatest(0, n0 - ix.t1, ix.t0 - n1) AS gr FROM ix LEFT JOIN kp k ON k.session = ix.session AND k.speaker = ix.nx),
+r AS (SELECT session, n, seg_idx, t0, t1, CASE WHEN kept THEN speaker ELSE coalesce(right_, head) END AS sp FROM jx WHERE n = 1 UNION ALL
+  SELECT jx.session, jx.n, jx.seg_idx, jx.t0, jx.t1, CASE WHEN jx.kept THEN jx.speaker WHEN jx.right_ IS NOT NULL AND jx.gr < jx.gl THEN jx.right_ ELSE r.sp END FROM r JOIN jx ON jx.session = r.session AND jx.n = r.n + 1)
 SELECT session, seg_idx, round(t0, 6) AS t0, round(t1, 6) AS t1, sp AS speaker FROM r""")
 def w16(spark, d):
     s = turns(spark, d)
-    kept = A.effective_speakers(A.speaker_stats(s), coverage=0.0, most=1).select("session", "speaker", "rank")
+    kept = A.effective_speakers(A.speaker_stats(s), coverage=0.0, least=2, most=2).select("session", "speaker", "rank")
     return rounded(folds.reassigned(s, kept), "t0", "t1")
 
 

@@ -74,11 +74,11 @@ def a7(spark, d):
 pl AS (SELECT label, sum(CASE WHEN gold = 1 THEN s ELSE 0 END) AS one, sum(CASE WHEN gold = 0 THEN s ELSE 0 END) AS zero, row_number() OVER (ORDER BY label) - 1 AS b FROM pr GROUP BY 1),
 mk AS (SELECT unnest(range(1, (SELECT (1 << count(*)) - 1 FROM pl))) AS mask),
 sc AS (SELECT mask, sum(CASE WHEN (mask >> b) & 1 = 1 THEN one ELSE zero END) / (SELECT sum(one + zero) FROM pl) AS accuracy FROM mk, pl GROUP BY 1)
-SELECT CAST(mask AS INTEGER) AS mask, round(accuracy, 6) AS accuracy FROM sc ORDER BY round(accuracy, 12) DESC, mask LIMIT 1""")
+SELECT CAST(mask AS BIGINT) AS mask, round(accuracy, 6) AS accuracy FROM sc ORDER BY round(accuracy, 12) DESC, mask LIMIT 1""")
 def a8(spark, d):
     gold = F.when(F.col("label").isin("click", "view") | (F.col("k") == 0), 1).otherwise(0)
     pairs = S.signal(spark, d).groupBy("label", gold.alias("gold")).agg(F.count("*").cast("double").alias("seconds"))
-    return rounded(A.best_mapping(pairs), "accuracy")
+    return rounded(A.best_mapping(pairs).drop("labels"), "accuracy")
 
 
 @query("A10_two_way_accuracy", f"{HF}{GRID} SELECT round(greatest(avg(CAST(gold = pred AS INTEGER)), avg(CAST(gold <> pred AS INTEGER))), 6) AS accuracy FROM g")
@@ -341,22 +341,24 @@ def o7(spark, d):
     return s.select("session", "speaker").distinct().join(s.where("seg_idx < 2"), ["session", "speaker"], "left_anti")
 
 
-CJK_ROWS = [(1, "今日 は  いい天気 です"), (2, "今日 hello 世界"), (3, "。。 テスト??"), (4, "、どう? 。"), (5, "a  b"), (6, "です。？ね"), (7, "えっ？ ？ ！！")]
-LITERAL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in CJK_ROWS) + ") x(id, text)"
-CJK_SQL = "[\\x{3000}-\\x{303F}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{FF00}-\\x{FFEF}]"
+#: Turns whose vowels are written in CJK and other wide characters and whose blanks are doubled in part.
+WIDE_FROM, WIDE_TO = "aeionrst", "あ漢㐀豈。Ａｱ　"
+WIDE_SQL = f"SELECT conv_id, turn, replace(replace(translate(text, '{WIDE_FROM}', '{WIDE_TO}'), 'd ', 'd  '), '漢', '漢 ') AS text FROM conversations"
+CJK_SQL = "[\\x{3000}-\\x{303F}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]"
 
 
-def literal(spark):
-    return spark.createDataFrame(CJK_ROWS, "id int, text string")
+def wide(spark, d):
+    text = F.replace(F.replace(F.translate("text", WIDE_FROM, WIDE_TO), F.lit("d "), F.lit("d  ")), F.lit("漢"), F.lit("漢 "))
+    return S.table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
 
 
 def _twice(x):
     return f"regexp_replace(regexp_replace({x}, '({CJK_SQL}) +({CJK_SQL})', '\\1\\2', 'g'), '({CJK_SQL}) +({CJK_SQL})', '\\1\\2', 'g')"
 
 
-@query("T1_cjk_spaces", f"SELECT id, {_twice('text')} AS clean FROM ({LITERAL})")
+@query("T1_cjk_spaces", f"SELECT conv_id, turn, {_twice('text')} AS clean FROM ({WIDE_SQL})")
 def t1(spark, d):
-    return literal(spark).select("id", T.drop_cjk_spaces(F.col("text")).alias("clean"))
+    return wide(spark, d).select("conv_id", "turn", T.drop_cjk_spaces(F.col("text")).alias("clean"))
 
 
 @query("T4_timecode", f"""{HS} SELECT event_id, printf('%02d:%02d:%02d,%03d', us // 3600000000, us // 60000000 % 60, us // 1000000 % 60, us % 1000000 // 1000) AS code FROM (SELECT event_id, CAST(round(value * 1000000) AS BIGINT) AS us FROM sig WHERE value >= 0)""")
@@ -369,10 +371,34 @@ def t5(spark, d):
     return S.signal(spark, d).where("value >= 0").select("event_id", T.seconds_of(T.timecode(F.floor("value").cast("double"), millis=False)).alias("seconds"))
 
 
-@query("T6_punct_cleanup", f"SELECT * FROM (VALUES (1, '今日 は  いい天気 です'), (2, '今日 hello 世界'), (3, 'テスト？'), (4, 'どう？'), (5, 'a  b'), (6, 'です？ね'), (7, 'えっ？ ！')) x(id, clean)")
+#: Turns in which marks lead, repeat and meet, with and without white space between.
+MARKED = [(". ", "。 ? 。"), (", ", "、 、，"), ("e ", "？　．"), ("n ", ".! !"), ("a", "a。。 。?"), ("st", " ？？\t. ")]
+WHITE_SQL = "[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x{85}]*"
+
+
+def _marked_sql():
+    x = "text"
+    for old, new in MARKED:
+        x = f"replace({x}, '{old}', '{new}')"
+    return f"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '. ' WHEN 1 THEN ' 　?、. ' ELSE '  ' END || {x} AS text FROM conversations"
+
+
+def _cleaned_sql():
+    x = f"regexp_replace(text, '^{WHITE_SQL}[{T.MARKS}]+', '')"
+    for mark in T.MARKS:
+        x = f"regexp_replace({x}, '[{mark}](?:{WHITE_SQL}[{mark}])+', '{mark}', 'g')"
+    for pattern in ("[?？]+", f"？{WHITE_SQL}[{T.STOPS}]", f"[{T.STOPS}]{WHITE_SQL}？"):
+        x = f"regexp_replace({x}, '{pattern}', '？', 'g')"
+    return x
+
+
+@query("T6_punct_cleanup", f"SELECT conv_id, turn, {_cleaned_sql()} AS clean FROM ({_marked_sql()})")
 def t6(spark, d):
-    spaced = F.regexp_replace("text", "([?？]) +(?=。)", "$1")
-    return literal(spark).select("id", T.clean_punctuation(spaced).alias("clean"))
+    text = F.col("text")
+    for old, new in MARKED:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    lead = F.when(F.col("turn") % 3 == 0, ". ").when(F.col("turn") % 3 == 1, " 　?、. ").otherwise("  ")
+    return S.table(spark, d, "conversations").select("conv_id", "turn", T.clean_punctuation(F.concat(lead, text)).alias("clean"))
 
 
 @query("T9_sentence_final", f"{HW} SELECT session, word_idx FROM words WHERE regexp_matches(word, '[?？。.！!]$')")
@@ -385,10 +411,23 @@ def t10(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.file_name(F.col("url")).alias("name"))
 
 
-@query("T11_lenient_casts", "SELECT event_id, TRY_CAST(props ->> '$.k' AS DOUBLE) AS x, TRY_CAST(props ->> '$.k' AS BIGINT) AS n FROM events")
+#: Ways to write a value; # stands for a number of the table.
+WRITTEN = ['#', '#.0', '#.5', '"#"', '" +# "', '"#.25"', 'true', '"true"', '"Y"', '0', '1.0', 'null', '"x#"', '"f"', '-#e2', '[#]', '"1"']
+_JSON = "'{\"k\": ' || replace(CASE event_id % " + str(len(WRITTEN)) + " " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WRITTEN)) + " END, '#', CAST(user_id AS VARCHAR)) || '}'"
+_NUMERIC = "(?i)^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?|inf|infinity|nan)\\s*$"
+
+
+@query("T11_lenient_casts", f"""WITH j AS (SELECT event_id, json_type(j, '$.k') AS kind, j ->> '$.k' AS raw FROM (SELECT event_id, CAST({_JSON} AS JSON) AS j FROM events)), w AS (SELECT *, lower(trim(raw)) AS word, TRY_CAST(raw AS DOUBLE) AS n FROM j)
+SELECT event_id, CASE WHEN kind = 'BOOLEAN' THEN CAST(CAST(raw AS BOOLEAN) AS DOUBLE) WHEN kind = 'VARCHAR' THEN CASE WHEN regexp_matches(raw, '{_NUMERIC}') THEN TRY_CAST(trim(raw) AS DOUBLE) END ELSE n END AS x,
+  CASE WHEN kind = 'BOOLEAN' THEN NULL WHEN kind = 'VARCHAR' THEN CASE WHEN regexp_matches(raw, '^\\s*[+-]?\\d+\\s*$') THEN TRY_CAST(ltrim(trim(raw), '+') AS BIGINT) END WHEN n = floor(n) THEN CAST(n AS BIGINT) END AS n,
+  CASE WHEN kind IN ('VARCHAR', 'BOOLEAN') THEN CASE WHEN word IN ('true', 't', '1', 'yes', 'y') THEN TRUE WHEN word IN ('false', 'f', '0', 'no', 'n') THEN FALSE END WHEN n = 1 THEN TRUE WHEN n = 0 THEN FALSE END AS b FROM w""")
 def t11(spark, d):
-    p = F.col("props")
-    return S.table(spark, d, "events").select("event_id", N.lenient_double(p, "$.k").alias("x"), N.lenient_int(p, "$.k").alias("n"))
+    way = F.col("event_id") % len(WRITTEN)
+    written = F.coalesce(*[F.when(way == i, F.lit(w)) for i, w in enumerate(WRITTEN)])
+    json = F.concat(F.lit('{"k": '), F.replace(written, F.lit("#"), F.col("user_id").cast("string")), F.lit("}"))
+    e = S.table(spark, d, "events").select("event_id", json.alias("j"))
+    p = F.col("j")
+    return e.select("event_id", N.lenient_double(p, "$.k").alias("x"), N.lenient_int(p, "$.k").alias("n"), N.lenient_boolean(p, "$.k").alias("b"))
 
 
 @query("T13_speaker_label", f"{HS} SELECT event_id, printf('SPEAKER_%02d', k) AS label, k AS back FROM sig")
