@@ -7,9 +7,11 @@ there, from the page's own best container.
 
 A path is the innermost STEPS elements down to the container, each with its sorted class and id words, digits
 generalised. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role, hidden state or class and id words; an element that is known by its words only stays if it
-holds most of the page's text, and headings within an article's header stay. Blocks are
+left out by tag, role, hidden state or class and id words, whatever their size. Only a wrapper of the article stays: a form or an
+element known by role or words of layout (or that bears words of an article, too) which holds most of the page's text
+and in it a top heading or an article's element. Headings within an article's header stay. Blocks are
 joined by one newline; white space within a block, line breaks included, is one space; references are decoded.
+Parsing takes time in proportion to the page.
 
 Edge cases. Null html is empty and gives an empty text, as do pages without text. Unclosed and misnested tags close
 with what contains them. A null url or one without a host shares the empty host. Ties of votes go to
@@ -19,6 +21,7 @@ the greater path, of containers to the innermost, then the first. Rows may repea
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,8 +33,9 @@ from .common import spool, table
 from .url_filters import host_of
 
 STEPS, VOTES, LEAST_SHARE = 6, 3, 0.3
+OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
@@ -53,22 +57,32 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 WITH = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-NOISE = set(
-    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies "
-    "consent gdpr notice notices notification sidebar side nav navbar navigation menu breadcrumb breadcrumbs masthead footer "
-    "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations "
-    "newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager teaser teasers".split()
+#: Words that a wrapper of the whole layout may bear as well.
+LAYOUT = set(
+    "banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs masthead footer share sharing social related overlay modal "
+    "widget widgets toolbar pagination pager".split()
+)
+NOISE = LAYOUT | set(
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion cookie cookies "
+    "consent gdpr notice notices notification comment comments commentlist disqus respond reply replies discussion "
+    "recommended recommendations newsletter subscribe subscription signup login popup teaser teasers".split()
 )
 GOOD = set("article content post entry story main body text prose".split())
 WHOLE = {"html", "body", "article", "main"}
 
 
 class Node:
-    __slots__ = ("parent", "tag", "steps", "gone", "soft", "good", "size", "links", "score", "depth")
+    """An element. soft: left out unless it wraps the article, which it can where ``wraps``; held: characters of text within;
+    heart: holds a top heading or an article's element; mass: prose within; near: the innermost container around."""
+
+    __slots__ = ("parent", "tag", "steps", "gone", "soft", "wraps", "good", "size", "links", "score", "depth", "held", "heart", "headed", "mass", "near")
 
-    def __init__(self, parent: Node | None, tag: str, steps: tuple[str, ...], gone: bool, soft: bool, good: bool):
-        self.parent, self.tag, self.steps, self.gone, self.soft, self.good = parent, tag, steps, gone, soft, good
-        self.size = self.links = self.score = 0.0
+    def __init__(self, parent: Node | None, tag: str, steps: tuple[str, ...], gone: bool, soft: bool, wraps: bool, good: bool):
+        self.parent, self.tag, self.steps, self.gone, self.soft, self.wraps, self.good = parent, tag, steps, gone, soft, wraps, good
+        self.size = self.links = self.score = self.held = self.mass = 0.0
+        self.heart = tag == "h1" or (good and not soft)
+        self.headed = (tag == "header" and soft) or (parent is not None and parent.headed)
+        self.near = self if tag in CONTAINERS or parent is None else parent.near
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -85,15 +99,16 @@ def _element(parent: Node, tag: str, written: str) -> Node:
     good = bool(words & GOOD) or tag in ("article", "main")
     noise = bool(words & NOISE) and tag not in WHOLE
     soft = found.get("role", "").lower() in ROLES or noise or tag == "header" or ("header" in words and not good and tag not in WHOLE)
+    wraps = tag == "form" or not words & (NOISE - LAYOUT) or bool(words & GOOD)
     step = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})])
-    return Node(parent, tag, (*parent.steps, step)[-STEPS:], gone, soft, good)
+    return Node(parent, tag, (*parent.steps, step)[-STEPS:], gone and tag != "form", soft or tag == "form", wraps, good)
 
 
 class Page:
     """Block texts of a page with the elements that they stand in."""
 
     def __init__(self, html: str):
-        self.root = Node(None, "html", ("html",), False, False, False)
+        self.root = Node(None, "html", ("html",), False, False, False, False)
         self.nodes: list[Node] = [self.root]
         self.blocks: list[tuple[Node, str]] = []
         self._parse(html)
@@ -101,6 +116,8 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack, text, linked, in_link = [self.root], [], 0, 0
+        counts: Counter[str] = Counter()  # open elements of each tag
+        last, last_data = html.rfind(">"), html.rfind("]]>")  # what opens after these never closes
         muted: list | None = None  # [tag, open elements of that tag, where its text began] of an inline element left out
 
         def unmute() -> None:
@@ -124,15 +141,32 @@ class Page:
 
         def close(to: int) -> None:
             flush()
+            counts.subtract(n.tag for n in stack[to:])
             del stack[to:]
 
-        at = 0
-        while m := TAG.search(html, at):
-            if m.start() > at:
-                text.append(html[at : m.start()])
+        at = seen = 0
+        while opened := OPEN.search(html, seen):
+            begin = opened.start()
+            m = None
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 4) + 3
+                end = end if end > 2 else len(html)
+            elif begin <= last_data and html.startswith("<![CDATA[", begin):
+                end = html.find("]]>", begin) + 3
+            elif begin > last:
+                break
+            elif m := TAG.match(html, begin):
+                end = m.end()
+            else:
+                seen = begin + 1
+                continue
+            if begin > at:
+                text.append(html[at:begin])
                 if in_link:
-                    linked += m.start() - at
-            at = m.end()
+                    linked += begin - at
+            at = seen = end
+            if m is None:
+                continue
             ending, tag, written = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not tag:
                 continue
@@ -151,7 +185,7 @@ class Page:
                     unmute()
                 continue
             if ending:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if counts[tag] > 0 else 0
                 if k:
                     close(k)
                 elif tag in BLOCKS:
@@ -159,7 +193,7 @@ class Page:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-                at = html.find(">", end.start()) + 1 or len(html) if end else len(html)
+                at = seen = html.find(">", end.start()) + 1 or len(html) if end else len(html)
                 continue
             if tag == "html":
                 continue
@@ -172,7 +206,7 @@ class Page:
             flush()
             if stack[-1].tag == "p" or (stack[-1].tag in HEADINGS and tag in HEADINGS):
                 close(len(stack) - 1)
-            if tag in CLOSES:
+            if tag in CLOSES and any(counts[x] > 0 for x in WITH.get(tag, (tag,))):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in CLOSES[tag]:
                         break
@@ -183,57 +217,40 @@ class Page:
                 node = _element(stack[-1], tag, written)
             self.nodes.append(node)
             stack.append(node)
+            counts[tag] += 1
         if at < len(html):
             text.append(html[at:])
         flush()
 
     def _judge(self) -> None:
-        """Drop what is not prose, sum sizes upwards, score the containers."""
-        total = sum(len(t) for _, t in self.blocks) or 1
-        held: dict[int, float] = {}
+        """Drop what is not prose, sum sizes upwards, score the containers. Parents come before their children in ``nodes``."""
         for node, text in self.blocks:
-            up = node
-            while up is not None:
-                held[id(up)] = held.get(id(up), 0) + len(text)
-                up = up.parent
+            node.held += len(text)
+        for node in reversed(self.nodes[1:]):
+            node.parent.held += node.held
+            node.parent.heart = node.parent.heart or node.heart
+        most = self.root.held / 2
         for node in self.nodes[1:]:
             p = node.parent
-            in_article = p.good or getattr(p, "tag", "") in ("article", "main")
-            if node.soft and held.get(id(node), 0) <= total / 2:
-                node.gone = node.gone or not (in_article and node.tag == "header")
-            elif node.tag == "form" and node.gone and held.get(id(node), 0) > total / 2:
-                node.gone = False
+            in_article = p.good or p.tag in ("article", "main")
+            # a soft element's own kind says nothing; what lies within it does
+            if node.soft and not (node.wraps and node.heart and node.held > most) and not (in_article and node.tag == "header"):
+                node.gone = True
             node.gone = node.gone or p.gone
-        kept = []
+        self.blocks = [(n, text) for n, text in self.blocks if not n.gone and (not n.headed or n.tag in HEADINGS)]
         for node, text in self.blocks:
-            heads = self._article_header(node)
-            if not node.gone and (not heads or node.tag in HEADINGS):
-                kept.append((node, text))
-        self.blocks = kept
-        prose = [len(text) * (1 - (node.links / node.size if node.size else 0)) for node, text in kept]
-        mass: dict[int, float] = {}
-        for (node, _), much in zip(kept, prose, strict=True):
-            up = node
-            while up is not None:
-                mass[id(up)] = mass.get(id(up), 0) + much
-                up = up.parent
-        for (node, _), much in zip(kept, prose, strict=True):
-            up, share, below = node, 1.0, 0.0
-            while up is not None and much:
-                if up.tag in CONTAINERS:
-                    # a wrapper that adds no text costs nothing
-                    share *= max(0.6, below / mass[id(up)]) if below else 1.0
-                    up.score += much * share * (2.0 if up.good else 1.0)
-                    below = mass[id(up)]
-                up = up.parent
-
-    @staticmethod
-    def _article_header(node: Node) -> bool:
-        while node is not None:
-            if node.tag == "header" and node.soft:
-                return True
-            node = node.parent
-        return False
+            much = len(text) * (1 - (node.links / node.size if node.size else 0))
+            node.mass += much
+            node.near.score += much
+        for node in reversed(self.nodes[1:]):
+            node.parent.mass += node.mass
+        for node in reversed(self.nodes):
+            if node.near is not node or not node.score:
+                continue
+            if node.parent is not None and (up := node.parent.near).mass:
+                # a wrapper that adds no text costs nothing
+                up.score += node.score * max(0.6, node.mass / up.mass)
+            node.score *= 2.0 if node.good else 1.0
 
     def containers(self) -> list[Node]:
         """Containers with prose, best first; of equal ones the innermost of a nest, else the first."""
