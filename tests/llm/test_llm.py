@@ -343,8 +343,9 @@ def strange_texts():
     yield from ("", " " * 500, "a" * 3000, "".join(rng.choice("abcdefgh") for _ in range(2000)), "\n" * 400 + "x", "=-" * 700, "😀" * 400, "a b" * 300 + "c" * 500)
 
 
-def test_tree_concatenation_is_exact(library):
-    codec = bpe.Codec(PATH, leaf=48)
+@pytest.mark.parametrize("leaf", [7, 48])
+def test_tree_concatenation_is_exact(library, leaf):
+    codec = bpe.Codec(PATH, leaf=leaf)
     for text in strange_texts():
         ids = library.encode(text, add_special_tokens=False).ids
         assert codec.encode(text).tolist() == ids
@@ -352,6 +353,25 @@ def test_tree_concatenation_is_exact(library):
     assert codec.windows > 100
 
 
+@pytest.mark.parametrize("leaf", [9, 16, 48])
+def test_joined_halves_are_exact(library, leaf):
+    rng = random.Random(leaf)
+    parts = ["a", "the ", "  ", "\n", "\n\n", "é", "日本", "'s", " 12", "345", "!!", " ", "　", "<|endoftext|>", "😀", "x", "\t", "ing", "\r\n", "\u0085", "ß "]
+    codec = bpe.Codec(PATH, leaf=leaf)
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 120)))
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert codec.joins > 100
+
+
+def test_long_documents_go_by_joins(library):
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    codec = bpe.Codec(PATH)
+    for (text,) in texts:
+        assert codec.encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert codec.joins >= sum(len(t or "") > bpe.LEAF for (t,) in texts) > 50
+
+
 def test_both_engines_agree(library, docs):
     codec = bpe.Codec(PATH)
     assert codec.fast is not None

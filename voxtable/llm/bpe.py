@@ -1,12 +1,14 @@
 """BPE encoding and decoding of whole texts by tree concatenation (operator 5).
 
-Texts whose unsplit runs stay under LEAF characters are encoded at once: by tiktoken with the ranks of the same file where
-all characters are of long-settled classes, so that both libraries split alike, else by tokenizers. A text with a
-longer run is cut before white space that follows something else, where the byte-level pre-tokenizer always starts
-anew. What it leaves unsplit beyond LEAF bytes is encoded by tree concatenation: its halves, their halves and so
-on down to LEAF bytes are encoded in one batch in parallel, then pairs are joined upwards. At a join a window of tokens on
-either side is encoded anew and grows until its first token is the left part's and its last the right
-part's. A BPE sequence is the encoding of its text if and only if each two neighbours are the encoding of theirs, so a
+A text of more than LEAF characters is cut by size alone into leaves, which are encoded as one batch in parallel: by tiktoken
+with the ranks of the same file where all characters are of long-settled classes, so that both libraries split alike,
+else by tokenizers. Pairs of neighbours are joined upwards: the text around a join is encoded anew, in a window that
+ends on either side before white space that follows something else, where the byte-level pre-tokenizer always starts
+anew, and that grows until its first token is the left part's and its last the right part's.
+
+Runs without such a place are cut further: what the pre-tokenizer leaves unsplit beyond LEAF bytes is encoded by a tree of
+byte-level pieces. There, too, a window of tokens on either side of a join is encoded anew and grows until both sides
+agree. A BPE sequence is the encoding of its text if and only if each two neighbours are the encoding of theirs, so a
 window that agrees on both sides makes the joined sequence exact.
 
 Results equal ``encode(text, add_special_tokens=False)`` and ``decode(ids, skip_special_tokens=False)`` of the
@@ -22,6 +24,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 import numpy as np
@@ -38,6 +41,7 @@ LEAF, PIECES = 4096, 400_000
 #: White space as the pre-tokenizer sees it (Unicode's White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+EDGE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 #: Characters other than Latin, Latin supplements and common marks, whose classes no version of Unicode has changed.
 UNSETTLED = re.compile("[^\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2027\u2030-\u205e]")
 
@@ -56,14 +60,16 @@ class Codec:
     _made: dict[str, Codec] = {}
 
     def __init__(self, path: str, leaf: int = LEAF):
-        self.path, self.leaf, self.windows = path, leaf, 0
+        self.path, self.leaf, self.windows, self.joins = path, leaf, 0, 0
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         self.specials = {t["content"]: t["id"] for t in made.get("added_tokens", [])}
         names = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.long = re.compile(rf"\S{{{leaf}}}|\s{{{leaf}}}")
         self.fast = self._ranked(made)
+        vocab = made["model"]["vocab"]
+        self.sizes = np.zeros(max([*vocab.values(), *self.specials.values()]) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(t) for t in vocab]  # a character of a token's name is a byte
 
     @cached_property
     def tokenizer(self) -> Tokenizer:
@@ -102,8 +108,11 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, unsigned 32-bit."""
-        if len(text) >= self.leaf and self.long.search(text):
-            return self.encode_long(text)
+        if len(text) > self.leaf:
+            if self.has_long_run(text):
+                return self.encode_long(text)
+            runs = self.special.split(text) if self.special else [text]
+            return np.concatenate([np.array([self.specials[r]], "<u4") if k % 2 else self.halves(r) for k, r in enumerate(runs)])
         if self.fast is not None and not UNSETTLED.search(text):
             return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), "<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -111,6 +120,72 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         return [self.encode(t) for t in texts]
 
+    def leaves(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without special tokens, as one batch."""
+        if self.fast is not None and not any(map(UNSETTLED.search, texts)):
+            own = self.pool.map if len(texts) >= 16 else map
+            return [x.astype("<u4", copy=False) for x in own(self._ordinary, texts)]
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ordinary(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+    @cached_property
+    def pool(self) -> ThreadPoolExecutor:
+        return ThreadPoolExecutor(2)
+
+    def has_long_run(self, text: str) -> bool:
+        """Whether LEAF characters or more stand without a change between white space and other characters. Looked for at
+        every LEAF-th character, one of which each such run covers."""
+        for at in range(self.leaf - 1, len(text), self.leaf):
+            space = text[at].isspace()
+            low, high = at, at + 1
+            while low and text[low - 1].isspace() == space and high - low < self.leaf:
+                low -= 1
+            while high < len(text) and text[high].isspace() == space and high - low < self.leaf:
+                high += 1
+            if high - low >= self.leaf:
+                return True
+        return False
+
+    def halves(self, text: str) -> np.ndarray:
+        """The ids of a text without special tokens and without long runs: its leaves' ids, joined in pairs upwards."""
+        parts = [text[i : i + self.leaf] for i in range(0, len(text), self.leaf)]
+        if not parts:
+            return np.empty(0, "<u4")
+        level = list(zip(parts, self.leaves(parts), strict=True))
+        while len(level) > 1:
+            level = [self.join_texts(*level[i], *level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0][1]
+
+    def join_texts(self, left: str, x: np.ndarray, right: str, y: np.ndarray, width: int = 16) -> tuple[str, np.ndarray]:
+        """The concatenated text and its ids, from two texts and theirs."""
+        self.joins += 1
+        while True:
+            self.windows += 1
+            before, after = left[max(0, len(left) - 4 * width) : max(0, len(left) - width)], right[width : 4 * width]
+            edges = [m.start() for m in EDGE.finditer(before)]
+            a = max(0, len(left) - 4 * width) + edges[-1] if edges else 0
+            found = EDGE.search(after)
+            b = width + found.start() if found else len(right)
+            if (not edges and len(left) > 4 * width) or (not found and len(right) > 4 * width):
+                width *= 2
+                continue
+            again = self.leaves([left[a:] + right[:b]])[0]
+            m = self._tokens(x[::-1], left[a:])
+            n = self._tokens(y, right[:b])
+            agrees_left = not a or (m and again[0] == x[len(x) - m])
+            agrees_right = b == len(right) or (n and again[-1] == y[n - 1])
+            if agrees_left and agrees_right:
+                return left + right, np.concatenate((x[: len(x) - m], again, y[n:]))
+            width *= 2
+
+    def _tokens(self, ids: np.ndarray, text: str) -> int:
+        """How many of the first ids make up ``text``, which ends where one does."""
+        size = len(text.encode("utf-8", "surrogatepass"))
+        most = ids[:size]  # a token has a byte at least
+        return int(np.searchsorted(np.cumsum(self.sizes[most]), size, "left")) + 1 if size else 0
+
     def encode_long(self, text: str) -> np.ndarray:
         """A text with long runs: special tokens, cuts and the pre-tokenizer's own splits first, trees for the rest."""
         parts: list[list[int]] = []
