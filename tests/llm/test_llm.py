@@ -270,6 +270,20 @@ def test_fingerprints_of_awkward_rows(spark):
     assert fingerprints.compare(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_fingerprints_of_other_ids(spark):
+    rng = random.Random(8)
+    rows = sorted((f"{rng.randrange(10**6)}-é{i}", prose(rng, rng.randrange(1, 60))) for i in range(150))
+    out = {r.doc_id: r for r in fingerprints.compare(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()}
+    assert len(out) == len(rows)
+    for (key, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert out[key].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and out[key].fingerprint == fingerprints.Sketch.of(text).text()
+    dates = spark.createDataFrame([("2020-01-01", "a b"), ("2021-01-01", "c d"), (None, "e")], "d string, text string").select(F.to_date("d").alias("doc_id"), "text")
+    assert fingerprints.compare(dates).count() == 3
+    assert fingerprints.compare(dates.limit(0)).count() == 0
+
+
 def test_group_sketches(spark):
     df = spark.createDataFrame([(i, f"{i % 3}", prose(random.Random(i), 40)) for i in range(30)], "doc_id long, g string, text string")
     out = {r.g: r.fingerprint for r in fingerprints.merged(fingerprints.fingerprint(df), ["g"]).collect()}

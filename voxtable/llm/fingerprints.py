@@ -11,7 +11,7 @@ had more than k. Equal texts have equal fingerprints.
 Edge cases. Null text counts as empty; a text without words has the empty fingerprint, and two empty
 fingerprints have likeness 1, an empty and another 0. Texts of fewer than five words have one shingle.
 The next document is that of the next greater doc_id, of rows with equal doc_id the next by text; after the last row
-comes the first; nulls order first. A lone row is its own next. Empty tables give no rows. Other
+comes the first; nulls order first; doc_id may be of any type with an order. A lone row is its own next. Empty tables give no rows. Other
 columns do not matter.
 """
 
@@ -25,11 +25,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import shuffle_parts, table, text_or_empty
 from .shingles import shingles
 
-K, SIZE = 128, 5
+K, SIZE, DRAWN = 128, 5, 20
 MOST = float(1 << 64)
 
 
@@ -121,7 +122,12 @@ def followed(docs: DataFrame, buckets: int) -> DataFrame:
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     kind = docs.schema["doc_id"].dataType
     shares = [i / buckets for i in range(1, buckets)]
-    found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10_000)).first()[0] if shares else []
+    if isinstance(kind, NumericType):
+        found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10_000)).first()[0] if shares else []
+    else:  # ids that only have an order: those with the least hashes are a fair sample, DRAWN for each range at most
+        ids = rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DRAWN * buckets)
+        drawn = sorted(r.doc_id for r in ids.collect())
+        found = [drawn[int(share * len(drawn))] for share in shares if drawn]
     bounds = sorted(set(found or []))
     # a binary search over the bounds, written as a tree of comparisons
     def tree(lo: int, hi: int):
