@@ -5,7 +5,9 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pytest
 
+from voxtable.config import RefineSettings
 from voxtable.sources import audio, sinks, transcripts
 from voxtable.streaming import jobs
 
@@ -57,8 +59,25 @@ def test_segment_lists_and_comparisons(spark, tmp_path):
     assert transcripts.comparisons(spark, str(tmp_path / "c.json")).count() == 3
 
 
+def test_events_pass_over_other_values(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text('{"frame": 3, "event_type": "switch"}\n\n[1, 2]\n"x"\n7\n {"frame": 4}\n')
+    assert sorted(r.frame for r in transcripts.events(spark, str(tmp_path / "e.jsonl")).collect()) == [3, 4]
+    (tmp_path / "bad.jsonl").write_text('{"frame": 3}\n{"frame": \n')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        transcripts.events(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_presets():
+    plain = RefineSettings()
+    assert RefineSettings.preset("AGGRESSIVE").max_candidates == 60 and RefineSettings.preset("none such") == plain
+    own = RefineSettings(window_sec=3.0)
+    assert RefineSettings.preset("conservative", own) == own and RefineSettings.preset("conservative", plain).switch_scale == 0.5
+    with pytest.raises(ValueError):
+        RefineSettings(short_hop_sec=0.0)
+
+
 def test_report_intervals(spark, tmp_path):
-    (tmp_path / "r.txt").write_text("GOLD HOST as GUEST\n 0 1.0 2.0 1.0\n 1 2.0 3.0 1.0\nother section\n 0 7.0 8.0 1.0\n")
+    (tmp_path / "r.txt").write_text("=== Wrong (HOST as GUEST) ===\n  count : 2\n 0 1.0 2.0 1.0\n 1 2.0 3.0 1.0\n=== Other section ===\n 0 7.0 8.0 1.0\n")
     rows = transcripts.report_intervals(transcripts.lines(spark, str(tmp_path)), "as GUEST").collect()
     assert [(r.t0, r.t1) for r in rows] == [(1.0, 3.0)]
 

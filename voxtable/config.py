@@ -87,11 +87,54 @@ class TimelineSettings:
         _within("zone_window", self.zone_window, 1.0, 3600.0)
 
 
+@dataclass(frozen=True)
+class RefineSettings:
+    """Of the refinement around candidate boundaries (U6). The defaults and the presets."""
+
+    max_candidates: int = 40
+    merge_sec: float = 0.5
+    merge_widest_sec: float = 2.0
+    window_sec: float = 1.0
+    use_switches: bool = True
+    use_marks: bool = True
+    marks: str = "?？。."
+    short_window_sec: float = 0.5
+    short_hop_sec: float = 0.25
+    local_decoding: bool = True
+    switch_scale: float = 0.3
+    least_frames: int = 3
+
+    def __post_init__(self):
+        for name in ("merge_widest_sec", "window_sec", "short_window_sec", "short_hop_sec"):
+            if getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be over 0, not {getattr(self, name)}")
+        for name, least in (("merge_sec", 0), ("switch_scale", 0), ("max_candidates", 1), ("least_frames", 1)):
+            if getattr(self, name) < least:
+                raise ValueError(f"{name} must be {least} at least, not {getattr(self, name)}")
+
+    @classmethod
+    def preset(cls, name: str | None = "default", own: RefineSettings | None = None) -> RefineSettings:
+        """The settings in force: ``own`` as a whole, unless it is missing, or nothing but the defaults beside another preset.
+        Names are read without regard to case; unknown ones mean the default."""
+        known = (name or "default").lower()
+        if own is not None and (known == "default" or own != cls()):
+            return own
+        return cls(**PRESETS.get(known, {}))
+
+
+PRESETS = {
+    "default": {},
+    "conservative": {"max_candidates": 20, "merge_sec": 0.4, "merge_widest_sec": 1.5, "window_sec": 0.8, "short_window_sec": 0.4, "short_hop_sec": 0.2, "switch_scale": 0.5},
+    "aggressive": {"max_candidates": 60, "merge_sec": 0.6, "merge_widest_sec": 2.5, "window_sec": 1.2, "short_window_sec": 0.6, "short_hop_sec": 0.3, "switch_scale": 0.2},
+}
+
+
 @dataclass(frozen=True)
 class Settings:
     align: AlignSettings = field(default_factory=AlignSettings)
     cluster: ClusterSettings = field(default_factory=ClusterSettings)
     timeline: TimelineSettings = field(default_factory=TimelineSettings)
+    refine: RefineSettings = field(default_factory=RefineSettings)
 
     def to_dict(self) -> dict:
         return asdict(self)

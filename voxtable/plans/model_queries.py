@@ -18,8 +18,8 @@ from ..sources import sinks
 from . import standins as S
 from . import timeline as TL
 from .registry import query
-from .standins import FRAMES, HZ, SEG
-from .timeline_queries import paired, rounded, tops
+from .standins import FRAMES, HZ, SEG, WORDS
+from .timeline_queries import HOSTS, TOP, paired, rounded, tops
 from .value_queries import ACOS
 
 ALIGN = AlignSettings(hz=HZ)
@@ -52,7 +52,15 @@ def w7b(spark, d):
     return rounded(folds.smoothed_by_confidence(s.join(sure, ["session", "seg_idx"], "left"), longest=12.0).drop("run"), "t0", "t1")
 
 
-@query("W8_short_merge")
+@query("W8_short_merge", f"""WITH RECURSIVE {SEG}{HOSTS}, ix AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t0) AS n FROM two),
+r AS (SELECT session, n, t0 AS h0, t1 AS h1, speaker AS hs, CAST(NULL AS DOUBLE) AS e0, CAST(NULL AS DOUBLE) AS e1, CAST(NULL AS VARCHAR) AS es FROM ix WHERE n = 1 UNION ALL
+  SELECT ix.session, ix.n, CASE WHEN hs = speaker AND t1 - h1 < 0.5 THEN h0 WHEN h1 - h0 < 8 THEN least(h0, t0) ELSE t0 END, t1, speaker,
+    CASE WHEN NOT (hs = speaker AND t1 - h1 < 0.5) AND h1 - h0 >= 8 THEN h0 END, h1, hs FROM r JOIN ix ON ix.session = r.session AND ix.n = r.n + 1),
+o AS (SELECT session, n, e0 AS t0, e1 AS t1, es AS speaker FROM r WHERE e0 IS NOT NULL),
+l AS (SELECT session, n, h0, h1, hs FROM r QUALIFY n = max(n) OVER (PARTITION BY session)),
+b AS (SELECT o.session, o.n, o.t0, CASE WHEN l.h1 - l.h0 < 8 AND o.n = max(o.n) OVER (PARTITION BY o.session) THEN l.h1 ELSE o.t1 END AS t1, speaker FROM o JOIN l USING (session)
+  UNION ALL SELECT session, n + 1, h0, h1, hs FROM l WHERE h1 - h0 >= 8 OR session NOT IN (SELECT session FROM o))
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY n) - 1 AS seg_idx, round(t0, 6) AS t0, round(t1, 6) AS t1, speaker FROM b""")
 def w8(spark, d):
     return rounded(folds.merged_short(paired(spark, d), least=8.0), "t0", "t1")
 
@@ -75,7 +83,13 @@ def w16(spark, d):
     return rounded(folds.reassigned(s, kept), "t0", "t1")
 
 
-@query("W21_candidate_merge")
+@query("W21_candidate_merge", f"""WITH RECURSIVE {SEG}{FRAMES}{TOP}, sw AS (SELECT session, t FROM (SELECT *, lag(path) OVER (PARTITION BY session ORDER BY i) AS old FROM top) WHERE old <> path),
+ix AS (SELECT session, t AS centre, t - 0.4::DOUBLE AS a, t + 0.4::DOUBLE AS b, row_number() OVER (PARTITION BY session ORDER BY t) AS n FROM sw),
+r AS (SELECT session, n, 0 AS k, centre, a, b, 'switch' AS reason FROM ix WHERE n = 1 UNION ALL
+  SELECT ix.session, ix.n, CASE WHEN m THEN k ELSE k + 1 END, CASE WHEN m THEN (r.centre + ix.centre) / 2 ELSE ix.centre END, CASE WHEN m THEN least(r.a, ix.a) ELSE ix.a END,
+    CASE WHEN m THEN greatest(r.b, ix.b) ELSE ix.b END, CASE WHEN m THEN r.reason || '+switch' ELSE 'switch' END
+  FROM r JOIN ix ON ix.session = r.session AND ix.n = r.n + 1, LATERAL (SELECT ix.a <= r.b + 0.5 AND greatest(ix.b, r.b) - least(ix.a, r.a) <= 2 AS m))
+SELECT session, CAST(k AS BIGINT) AS n, round(centre, 6) AS centre, round(a, 6) AS a, round(b, 6) AS b, reason FROM r QUALIFY r.n = max(r.n) OVER (PARTITION BY session, k)""")
 def w21(spark, d):
     sw = W.switches(tops(spark, d), "path")
     c = sw.select("session", F.col("t").alias("centre"), (F.col("t") - 0.4).alias("a"), (F.col("t") + 0.4).alias("b"), F.lit("switch").alias("reason"))
@@ -164,7 +178,9 @@ def k3(spark, d):
     return sinks.txt(S.segments(spark, d))
 
 
-@query("K1_json")
+@query("K1_json", f"""WITH {WORDS}, s AS (SELECT session, list({{'start': round(t0, 6), 'end': round(t1, 6), 'speaker': speaker, 'text': text}} ORDER BY round(t0, 6), round(t1, 6), speaker, text) AS segments FROM seg GROUP BY 1),
+w AS (SELECT session, list({{'start': round(t0, 6), 'end': round(t1, 6), 'word': word}} ORDER BY round(t0, 6), round(t1, 6), word) AS words FROM words GROUP BY 1)
+SELECT session, CAST(CASE WHEN words IS NULL THEN to_json({{'segments': segments}}) ELSE to_json({{'segments': segments, 'words': words}}) END AS VARCHAR) AS json FROM s LEFT JOIN w USING (session)""")
 def k1(spark, d):
     return sinks.result_json(rounded(S.segments(spark, d), "t0", "t1"), rounded(S.words(spark, d), "t0", "t1"))
 

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import sequences
 from ..sources import audio, sinks, transcripts
 from . import standins as S
 from .registry import query
 from .standins import SEG, VEC
+from .timeline_queries import GRID, HF, role_grid
 
 #: Texts on one line and speakers in capitals, as the formats want them.
 SAID = r", sd AS (SELECT session, seg_idx, upper(speaker) AS speaker, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, CAST(round(t0 * 1000000) AS BIGINT) AS a, CAST(round(t1 * 1000000) AS BIGINT) AS b, t0 FROM seg)"
 HEAD = f"WITH {SEG}{SAID}"
 
 
+ERRORS = f"""{HF}{GRID}, m AS (SELECT *, gold = 'GUEST' AND pred = 'HOST' AS hit, coalesce(lead(t) OVER (PARTITION BY session ORDER BY i), t + 0.5) AS nx FROM g),
+r AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY i) AS run FROM (SELECT *, CAST(coalesce(lag(hit) OVER (PARTITION BY session ORDER BY i) <> hit, TRUE) AS INTEGER) AS new FROM m)),
+e AS (SELECT session, min(t) AS t0, max(nx) AS t1 FROM r WHERE hit GROUP BY session, run HAVING max(nx) - min(t) >= 1) """
+
+
 def said(spark, d) -> DataFrame:
     one_line = F.trim(F.regexp_replace("text", r"\s+", " "))
     return S.segments(spark, d).withColumns({"speaker": F.upper("speaker"), "text": one_line})
@@ -68,3 +75,17 @@ def s3(spark, d):
 @query("S4_full_windows", f"WITH {VEC} SELECT CAST(vec_id AS VARCHAR) AS session, s AS a, s + 10 AS b FROM (SELECT vec_id, unnest(range(0, len(v) - 9, 6)) AS s FROM vec)")
 def s4(spark, d):
     return audio.full_windows(samples(spark, d), 10, 6)
+
+
+@query("S5_range_grid", f"""WITH {SEG}, f AS (SELECT *, t0 + k * 0.75::DOUBLE AS a, least(t0 + k * 0.75::DOUBLE + 1.5::DOUBLE, t1) AS b FROM (SELECT session, seg_idx, t0, t1, unnest(range(CAST(ceil((t1 - t0) / 0.75::DOUBLE) AS BIGINT))) AS k FROM seg))
+SELECT session, seg_idx, k, round(a, 6) AS a, round(b, 6) AS b FROM f WHERE b - a >= 0.3::DOUBLE * 1.5::DOUBLE""")
+def s5(spark, d):
+    found = audio.range_frames(S.segments(spark, d).select("session", "seg_idx", "t0", "t1"), 1.5, 0.75)
+    return found.withColumns({"a": F.round("a", 6), "b": F.round("b", 6)})
+
+
+@query("S12_report_intervals", ERRORS + "SELECT session, t0, t1 FROM e")
+def s12(spark, d):
+    wrong = sequences.error_intervals(role_grid(spark, d), "gold", "pred", ("GUEST", "HOST"), 0.5, least=1.0)
+    report = sinks.interval_report(wrong, "GUEST as HOST").withColumnRenamed("report", "text")
+    return transcripts.report_intervals(as_lines(report), "GUEST as HOST")

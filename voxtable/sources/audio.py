@@ -71,6 +71,16 @@ def full_windows(recorded: DataFrame, window: int, hop: int) -> DataFrame:
     return recorded.select("session", F.inline(F.when(n < window, one).otherwise(many)))
 
 
+def range_frames(ranges: DataFrame, frame: float, hop: float, least: float = 0.3) -> DataFrame:
+    """Ranges (..., t0, t1) -> the other columns with k, a, b: frames at every hop within each range, cut at its end; a tail
+    under ``least`` of a frame goes. Empty ranges have none."""
+    n = F.ceil((F.col("t1") - F.col("t0")) / hop)
+    each = ranges.where(n > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    a = F.col("t0") + F.col("k") * hop
+    cut = each.withColumns({"a": a, "b": F.least(a + frame, F.col("t1"))})
+    return cut.where(F.col("b") - F.col("a") >= least * frame).drop("t0", "t1")
+
+
 def range_grid(t0: float, t1: float, frame: float, hop: float, least: float = 0.3) -> list[tuple[float, float]]:
     """Frames within a range; a tail under ``least`` of a frame goes."""
     starts = np.arange(t0, t1, hop)

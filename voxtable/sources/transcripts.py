@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import seconds_of
 
-HEADER = r"^\[(\d+):(\d+):(\d+)(?:\.(\d+))?\]\s+([A-Z0-9_]+):"
-TOKENS = r"^\[(\d+:\d+:\d+(?:[.,]\d+)?)\]\s+(SPEAKER_\d+):\s*(\S.*)$"
+# The lines of the formats; blanks may lead.
+HEADER = r"^\s*\[(\d+):(\d+):(\d+)(?:\.(\d+))?\]\s+([A-Z0-9_]+):"
+TOKENS = r"^\s*\[(\d+:\d+:\d+(?:[.,]\d+)?)\]\s+(SPEAKER_\d+):\s*(\S.*)$"
 TIMES = r"^(\d+:\d+:\d+[.,]\d+)\s*-->\s*(\d+:\d+:\d+[.,]\d+)"
 
 
@@ -73,13 +74,13 @@ def subtitles(df: DataFrame) -> DataFrame:
 
 
 def report_intervals(df: DataFrame, section: str) -> DataFrame:
-    """Rows ``index start end duration`` below a section's header line -> (session, t0, t1), touching ones merged; the
-    file is the session."""
+    """Rows ``index start end duration`` below a section's header line, which begins with ``===`` -> (session, t0, t1),
+    touching ones merged; the file is the session. Other lines of a section, such as its counts, are passed over."""
     from ..operators.sequences import merged
 
-    blocks = _blocks(df, F.col("line").rlike(r"^\s*[^\d\s].*"))
+    blocks = _blocks(df, F.col("line").rlike(r"^\s*==="))
     heads = blocks.where("_h").select("file", "block", F.contains("line", F.lit(section)).alias("own")).where("own")
-    row = r"^\s*\d+\s+([\d.]+)\s+([\d.]+)\s+[\d.]+"
+    row = r"^\s*\d+\s+(\d+(?:\.\d+)?)\s+(\d+(?:\.\d+)?)\s+\d+(?:\.\d+)?\s*$"
     hit = blocks.where(F.col("line").rlike(row)).join(heads, ["file", "block"], "left_semi")
     part = lambda i: F.regexp_extract("line", row, i).cast("double")
     return merged(hit.select(F.col("file").alias("session"), part(1).alias("t0"), part(2).alias("t1")))
@@ -106,8 +107,12 @@ EVENT = T.StructType([
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """Boundary events, one JSON object a line; a line that is no object stops the read."""
-    return spark.read.schema(EVENT).json(path, mode="FAILFAST")
+    """Boundary events, one JSON object a line. Blank lines and values that are no object are passed over; a line that is
+    no JSON stops the read."""
+    value = F.try_parse_json("value")
+    wanted = value.isNull() | F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+    rows = spark.read.text(path).where((F.trim("value") != "") & wanted)
+    return rows.select(F.from_json("value", EVENT, {"mode": "FAILFAST"}).alias("event")).select("event.*")
 
 
 def event_rows(df: DataFrame) -> DataFrame:
