@@ -270,6 +270,14 @@ def test_fingerprints_of_awkward_rows(spark):
     assert fingerprints.compare(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_fingerprint_plans_do_not_grow_with_ranges(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    few, many = (len(fingerprints.followed(df, n)._jdf.queryExecution().toString()) for n in (4, 2000))
+    assert many < 2 * few
+    dealt = fingerprints.followed(df, 2000).where("not copy").groupBy("bucket").count()
+    assert dealt.count() == 2000 and dealt.agg(F.max("count")).first()[0] <= 2
+
+
 def test_fingerprints_of_other_ids(spark):
     rng = random.Random(8)
     rows = sorted((f"{rng.randrange(10**6)}-é{i}", prose(rng, rng.randrange(1, 60))) for i in range(150))

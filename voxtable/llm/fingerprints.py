@@ -18,14 +18,16 @@ columns do not matter.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, TimestampType
 
 from .common import shuffle_parts, table, text_or_empty
 from .shingles import shingles
@@ -116,43 +118,52 @@ def merged(prints: DataFrame, by: list[str], k: int = K) -> DataFrame:
     return salted.repartition(n, *by).mapInPandas(run, kind)
 
 
+def bounds_of(rows: DataFrame, ranges: int) -> tuple[list, object]:
+    """Ids that begin the ranges but the first, ascending, and the id that begins the first (null if there are null ids). A range begins
+    with an id of the table, so none is empty. About DRAWN distinct ids a range, those with the least hashes, are collected."""
+    of = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.min("doc_id").alias("least")).first()
+    whole = 1 << 30
+    share = min(whole, -(-DRAWN * ranges * whole // max(of["n"], 1)))
+    drawn = rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < share)).select("doc_id").distinct()
+    found = sorted(r[0] for r in drawn.collect() if r[0] == r[0])
+    starts = sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+    return [x for x in starts if x != of["least"]], of["least"] if of["known"] == of["n"] else None
+
+
 def followed(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, place, doc_id, text, copy): docs dealt to ranges of doc_id, each with the row that follows its last
-    one as a copy at its end. Bounds and the ranges' first rows, a few a task, are all that is collected."""
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    one as a copy at its end. The bounds travel as one sorted list, so the plan does not grow with their number."""
     kind = docs.schema["doc_id"].dataType
-    shares = [i / buckets for i in range(1, buckets)]
-    if isinstance(kind, NumericType):
-        found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10_000)).first()[0] if shares else []
-    else:  # ids that only have an order: those with the least hashes are a fair sample, DRAWN for each range at most
-        ids = rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DRAWN * buckets)
-        drawn = sorted(r.doc_id for r in ids.collect())
-        found = [drawn[int(share * len(drawn))] for share in shares if drawn]
-    bounds = sorted(set(found or []))
-    # a binary search over the bounds, written as a tree of comparisons
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(bounds[mid]).cast(kind), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(tree(0, len(bounds))).cast("int")
-    least = rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), "doc_id")).alias("first")
-    )
-    firsts = sorted((r["bucket"], r["first"]["doc_id"]) for r in least.collect())  # one a range
-    firsts = firsts or [(0, None)]  # no rows
+    # a point in time has no one form in Python, its microseconds have
+    plain = F.unix_micros("doc_id") if isinstance(kind, TimestampType) else F.col("doc_id")
+    rows = docs.select(plain.alias("doc_id"), text_or_empty().alias("text"))
+    starts, least = bounds_of(rows, buckets)
+    quick = isinstance(rows.schema["doc_id"].dataType, IntegralType | FractionalType) and not isinstance(rows.schema["doc_id"].dataType, DecimalType)
+
+    @F.arrow_udf("struct<bucket: int, begins: boolean>")
+    def dealt(ids: pa.Array) -> pa.Array:
+        if quick:
+            keys = np.asarray(ids.drop_null())
+            some = np.searchsorted(np.asarray(starts, dtype=keys.dtype), keys, side="right")
+        else:
+            keys = ids.drop_null().to_pylist()
+            some = np.array([bisect.bisect_right(starts, x) for x in keys], dtype=np.int64)
+        opens = np.fromiter((b > 0 and starts[b - 1] == x for b, x in zip(some.tolist(), keys, strict=True)), bool, len(some))
+        known = np.asarray(ids.is_valid())
+        bucket, begins = np.zeros(len(ids), np.int32), np.zeros(len(ids), bool)
+        bucket[known], begins[known] = some, opens
+        return pa.StructArray.from_arrays([pa.array(bucket), pa.array(begins)], names=["bucket", "begins"])
+
+    first = F.col("doc_id").eqNullSafe(F.lit(least).cast(rows.schema["doc_id"].dataType))
     # the first row of a range goes to the range before as well, that of the first range behind the last
-    opens, into = [F.lit(None).cast(kind)] * (len(bounds) + 1), [-1] * (len(bounds) + 1)
-    for k, (b, first) in enumerate(firsts):
-        opens[b], into[b] = F.lit(first).cast(kind), firsts[k - 1][0]
-    begins = F.col("doc_id").eqNullSafe(F.array(*opens)[bucket])
-    target = F.when(begins, F.array(*map(F.lit, into))[bucket])
-    wraps = bucket == firsts[0][0]
-    own = F.struct(bucket.alias("bucket"), F.lit(0).alias("place"), F.lit(False).alias("copy"))
-    again = F.struct(target.alias("bucket"), F.when(wraps, 1).otherwise(0).alias("place"), F.lit(True).alias("copy"))
-    both = rows.withColumn("at", F.explode(F.filter(F.array(own, again), lambda x: x["bucket"].isNotNull())))
-    return both.select("at.bucket", "at.place", "doc_id", "text", "at.copy")
+    placed = rows.withColumn("own", dealt("doc_id"))
+    own = F.struct(F.col("own.bucket").alias("bucket"), F.lit(0).alias("place"), F.lit(False).alias("copy"))
+    before = F.struct((F.col("own.bucket") - 1).alias("bucket"), F.lit(0).alias("place"), F.lit(True).alias("copy"))
+    behind = F.struct(F.lit(len(starts)).alias("bucket"), F.lit(1).alias("place"), F.lit(True).alias("copy"))
+    at = F.when(F.col("own.begins"), F.array(own, before)).when(first, F.array(own, behind)).otherwise(F.array(own))
+    dealt_rows = placed.select(F.explode(at).alias("at"), "doc_id", "text")
+    back = F.timestamp_micros("doc_id") if isinstance(kind, TimestampType) else F.col("doc_id")
+    return dealt_rows.select("at.bucket", "at.place", back.alias("doc_id"), "text", "at.copy")
 
 
 def compare(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
