@@ -7,8 +7,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from voxtable.config import RefineSettings
-from voxtable.sources import audio, sinks, transcripts
+from voxtable.functions import text
+from voxtable.plans import stages
+from voxtable.sources import audio, frontend, sinks, transcripts
 from voxtable.streaming import jobs
 
 
@@ -121,3 +125,81 @@ def test_running_state(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("running").count() == len(rows)
     assert spark.table("running").where("abs(ema - 1) > 1e-9").count() == 0
+
+
+def test_mel_filters():
+    m = audio.mel_filters(16000, 512, 40)
+    f = np.fft.rfftfreq(512, 1 / 16000)
+    peaks = f[m.argmax(axis=1)]
+    # linear below 1 kHz, a constant ratio above; areas are about one
+    low, high = peaks[peaks < 900], peaks[peaks > 2500]
+    assert np.ptp(np.diff(low)) <= 63 and np.allclose(high[1:] / high[:-1], np.median(high[1:] / high[:-1]), rtol=0.05)
+    assert np.allclose(m[20:].sum(axis=1) * f[1], 1, atol=0.05)
+    x = np.random.default_rng(3).normal(size=16000)
+    assert len(audio.log_mel(x)) == 1 + (16000 - 512) // 160 and len(audio.log_mel(x, snip_edges=False)) == 101
+    assert np.allclose(audio.log_mel(x, mean=np.zeros(80), std=np.full(80, 0.5)).max(), 0)
+
+
+def test_segment_samples(spark):
+    recorded = spark.createDataFrame([("x", [float(i) for i in range(100)]), ("y", [1.0])], "session string, samples array<float>")
+    activity = spark.createDataFrame([("x", 0.0, 2.95), ("x", 9.5, 20.0), ("x", 9.8, 20.0), ("x", 3.0, 3.0), ("x", 50.0, 60.0), ("z", 0.0, 1.0)], "session string, a double, b double")
+    out = audio.segment_samples(recorded, activity, rate=10).orderBy("a").collect()
+    assert [(r.session, r.a, r.samples) for r in out] == [("x", 0.0, [float(i) for i in range(29)]), ("x", 9.5, [95.0, 96.0, 97.0, 98.0, 99.0])]
+
+
+def test_posteriors(spark, tmp_path):
+    p = np.array([[0.25, 0.75], [0.5, 0.5]])
+    np.savez(tmp_path / "a.npz", frame_times=[0.0, 0.5], spk_probs=p, duration_sec=9.0)
+    np.savez(tmp_path / "b.npz", frame_times=[0.0, 0.5], spk_probs=p)
+    np.savez(tmp_path / "c.npz", frame_times=[], spk_probs=np.zeros((0, 2)))
+    rows = audio.read_posteriors(spark, str(tmp_path))
+    assert [(r.session[-5:], r.i, r.t, r.p, r.duration) for r in rows.orderBy("session", "i").collect()] == [
+        ("a.npz", 0, 0.0, [0.25, 0.75], 9.0), ("a.npz", 1, 0.5, [0.5, 0.5], 9.0), ("b.npz", 0, 0.0, [0.25, 0.75], 0.5), ("b.npz", 1, 0.5, [0.5, 0.5], 0.5),
+    ]
+    sinks.write_posteriors(rows, str(tmp_path / "out"))
+    assert sorted((r.i, r.t, r.duration) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0.0, 0.5), (0, 0.0, 0.5), (1, 0.5, 0.5), (1, 0.5, 0.5)]
+
+
+def test_wide_wrap_and_log_lines(spark):
+    df = spark.createDataFrame([("あいうab",), ("abcde",), ("",), (None,), ("aあ😀b",)], "t string")
+    assert [r[0] for r in df.select(text.wrapped_wide(F.col("t"), 4)).collect()] == ["あい\nうab", "abcd\ne", "", None, "aあ😀\nb"]
+    assert [r[0] for r in df.select(text.wrapped_wide(F.col("t"), 1)).collect()][:2] == ["\nあ\nい\nう\na\nb", "a\nb\nc\nd\ne"]
+    assert df.select(text.wrapped_wide(F.col("t"), 0).alias("w")).first().w == "あいうab"
+    lines = ["12:00:01-INFO-x: y", "2024-01-01 10:00:00,123 - ERROR - a: b", "2024-01-01T10:00:00 [WARNING] m: z", "[STDERR] e", "[SENTINEL] s", "plain", " [STDOUT] late", "12:00:01-NOTE-x: y"]
+    told = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").orderBy("i").select(text.is_log_line(F.col("x")))
+    assert [r[0] for r in told.collect()] == [True] * 5 + [False] * 3
+    kept = spark.createDataFrame([("[TRACE-ALIGNER] a",), ("a [TRACE-ALIGNER]",)], "x string")
+    assert [tuple(r) for r in kept.select(text.is_kept(F.col("x")), text.is_kept(F.col("x"), True)).collect()] == [(False, True), (True, True)]
+
+
+def test_upper_bound_report(spark):
+    pairs = spark.createDataFrame([(1, "GUEST", "GUEST", 6.0), (1, "GUEST", "HOST", 2.0), (1, "HOST", "HOST", 12.0)], "session int, gold string, pred string, seconds double")
+    mapping = spark.createDataFrame([(1, 1, "GUEST"), (1, 0, "HOST")], "session int, cluster int, role string")
+    lines = sinks.upper_bound_report(pairs, mapping, 10.0).first().report.split("\n")
+    assert lines[1:6] == ["- Frame step        : 0.100 sec (10.0 Hz)", "- Total frames      : 200  (20.0 sec)", "- Best cluster→role mapping (0=GUEST, 1=HOST): cluster_0→1 (HOST), cluster_1→0 (GUEST)", "", "Upper-bound accuracy: 0.9000"]
+    assert lines[8:11] == ["  gold\\pred   GUEST       HOST", "  GUEST          6.0       2.0", "  HOST           0.0      12.0"]
+    assert lines[13:] == ["  GUEST: 0.7500  (correct 6.0s / total 8.0s)", "  HOST : 1.0000  (correct 12.0s / total 12.0s)"]
+
+
+def test_front_end(tmp_path):
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    assert frontend.front_end(deep / "m.onnx") == (frontend.FrontEnd(), None)
+    (tmp_path / "config.yaml").write_text("frontend:\n  fbank: {num_mel_bins: 40, snip_edges: false}\n")
+    assert frontend.settings_file(deep) == tmp_path.resolve() / "config.yaml"
+    assert frontend.settings_file(deep / "1" / "2" / "3" / "4") is None
+    if frontend.yaml is not None:
+        assert frontend.front_end(deep / "m.onnx")[0] == frontend.FrontEnd(num_mel_bins=40, snip_edges=False)
+    assert frontend.global_norm(tmp_path) is None
+    (tmp_path / "mean_std.json").write_text("{}")
+    (tmp_path / "cmvn.json").write_text(json.dumps({"mean": [1, 2], "std": [3, 4]}))
+    assert [list(x) for x in frontend.global_norm(tmp_path)] == [[1, 2], [3, 4]] and frontend.global_norm(tmp_path, wanted=False) is None
+
+
+def test_stages(spark):
+    recorded = spark.createDataFrame([("x", [0.5] * 40)], "session string, samples array<float>")
+    seen = []
+    work = lambda df: seen.append(df.columns) or df
+    assert [stages.run_stage(s, recorded, work, rate=10)["ok"] for s in ("asr", "vad", "diar", "other")] == [True, True, True, False]
+    assert seen == [["session", "samples"]] * 2 + [["session", "chunk_idx", "start", "chunk"]]
+    assert stages.run_stage("diar", recorded.limit(0), work, rate=10) == {"stage": "diar", "ok": False}

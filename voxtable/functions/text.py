@@ -109,3 +109,40 @@ def wrapped(text: Column, width: int = 42) -> Column:
 
     run.__annotations__ = {"column": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")(text)
+
+
+def wrapped_wide(text: Column, width: int) -> Column:
+    """Lines of at most ``width`` columns, a CJK character taking two; a width under 1 leaves the text as it is. A character that
+    does not fit even alone opens a line of its own."""
+    if width < 1:
+        return text
+    at = F.split(text, "")
+    empty = F.struct(F.lit("").alias("done"), F.lit(0).alias("used"))
+
+    def step(held, c):
+        w = F.when(c.rlike(f"[{CJK}]"), 2).otherwise(1)
+        full = held["used"] + w > width
+        return F.struct(F.concat(held["done"], F.when(full, F.lit("\n")).otherwise(F.lit("")), c).alias("done"), F.when(full, w).otherwise(held["used"] + w).alias("used"))
+
+    return F.aggregate(F.filter(at, lambda c: c != ""), empty, step, lambda held: held["done"])
+
+
+# Lines that a log already holds in its own form, and the start of trace lines.
+LOG_LINES = (
+    r"^\d{2}:\d{2}:\d{2}-(?:DEBUG|INFO|WARNING|ERROR|CRITICAL)-[^:]+:",
+    r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:,\d{3})?\s*-\s*(?:DEBUG|INFO|WARNING|ERROR|CRITICAL)\s*-\s*[^:]+:",
+    r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:,\d{3})?\s*\[(?:DEBUG|INFO|WARNING|ERROR|CRITICAL)\]\s*[^:]+:",
+    r"^\[STD(?:ERR|OUT)\]",
+    r"^\[SENTINEL\]",
+)
+TRACE = "[TRACE-ALIGNER"
+
+
+def is_log_line(line: Column) -> Column:
+    """Whether a line is already one of a log."""
+    return F.coalesce(line.rlike("|".join(LOG_LINES)), F.lit(False))
+
+
+def is_kept(message: Column, trace: bool = False) -> Column:
+    """Whether a message goes into the log: trace messages only when asked for."""
+    return F.lit(True) if trace else ~F.coalesce(F.startswith(message, F.lit(TRACE)), F.lit(False))

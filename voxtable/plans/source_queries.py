@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import sequences
 from ..sources import audio, sinks, transcripts
 from . import standins as S
@@ -89,3 +90,27 @@ def s12(spark, d):
     wrong = sequences.error_intervals(role_grid(spark, d), "gold", "pred", ("GUEST", "HOST"), 0.5, least=1.0)
     report = sinks.interval_report(wrong, "GUEST as HOST").withColumnRenamed("report", "text")
     return transcripts.report_intervals(as_lines(report), "GUEST as HOST")
+
+
+@query("Z7_segment_samples", f"""WITH {VEC}, sp AS (SELECT vec_id, v, (vec_id % 7) * 0.6::DOUBLE AS a, (vec_id % 7) * 0.6::DOUBLE + (vec_id % 5) * 0.9::DOUBLE AS b FROM vec),
+n AS (SELECT *, CAST(trunc(a * 4) AS BIGINT) AS s, least(CAST(trunc(b * 4) AS BIGINT), len(v)) AS e FROM sp)
+SELECT CAST(vec_id AS VARCHAR) AS session, a, b, CAST(e - s AS INTEGER) AS n, round(list_sum(v[s + 1 : e]), 5) AS total FROM n WHERE e - s >= 1""")
+def z7(spark, d):
+    recorded = samples(spark, d)
+    k = F.col("session").cast("long")
+    a = (k % 7) * F.lit(0.6)
+    spans = recorded.select("session", a.alias("a"), (a + (k % 5) * F.lit(0.9)).alias("b"))
+    cut = audio.segment_samples(recorded, spans, rate=4)
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return cut.select("session", "a", "b", F.size("samples").alias("n"), F.round(total, 5).alias("total"))
+
+
+LOGGED = """CASE doc_id % 6 WHEN 0 THEN '12:00:01-INFO-' || coalesce(source, '') || ': read' WHEN 1 THEN '2024-01-01 10:00:00,123 - ERROR - ' || coalesce(source, '') || ': lost'
+WHEN 2 THEN '2024-01-01T10:00:00 [DEBUG] ' || coalesce(source, '') || ': seen' WHEN 3 THEN '[STDERR] ' || coalesce(source, '') WHEN 4 THEN '[TRACE-ALIGNER] ' || coalesce(source, '') ELSE coalesce(source, '') || ' [SENTINEL]' END"""
+
+
+@query("T17_log_lines", r"""SELECT doc_id, regexp_matches(line, '^\d\d:\d\d:\d\d-(DEBUG|INFO|WARNING|ERROR|CRITICAL)-[^:]+:') OR regexp_matches(line, '^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(,\d{3})?\s*(- *(DEBUG|INFO|WARNING|ERROR|CRITICAL)\s*-|\[(DEBUG|INFO|WARNING|ERROR|CRITICAL)\])\s*[^:]+:')
+OR starts_with(line, '[STDERR]') OR starts_with(line, '[STDOUT]') OR starts_with(line, '[SENTINEL]') AS logged, NOT starts_with(line, '[TRACE-ALIGNER') AS kept FROM (SELECT doc_id, """ + LOGGED + " AS line FROM documents)")
+def t17(spark, d):
+    lines = S.table(spark, d, "documents").select("doc_id", F.expr(LOGGED).alias("line"))
+    return lines.select("doc_id", X.is_log_line(F.col("line")).alias("logged"), X.is_kept(F.col("line")).alias("kept"))

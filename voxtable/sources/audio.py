@@ -89,28 +89,36 @@ def range_grid(t0: float, t1: float, frame: float, hop: float, least: float = 0.
 
 
 def mel_filters(rate: int, n_fft: int, mels: int) -> np.ndarray:
-    """Triangular filters, evenly spaced in mel = 2595 log10(1 + f / 700)."""
-    top = 2595 * np.log10(1 + rate / 2 / 700)
-    edges = 700 * (10 ** (np.linspace(0, top, mels + 2) / 2595) - 1)
+    """Triangular filters of equal area, evenly spaced on a scale that is linear (200/3 Hz a step) up to 1 kHz and logarithmic above
+    (27 steps for a factor of 6.4)."""
+    knee, slope = 15.0, 27 / np.log(6.4)
+    top = rate / 2 * 3 / 200 if rate <= 2000 else knee + slope * np.log(rate / 2000)
+    steps = np.linspace(0, top, mels + 2)
+    edges = np.where(steps < knee, steps * 200 / 3, 1000 * np.exp((steps - knee) / slope))
     f = np.fft.rfftfreq(n_fft, 1 / rate)
     up = (f[None] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - f[None]) / (edges[2:] - edges[1:-1])[:, None]
-    return np.maximum(0, np.minimum(up, down))
+    return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def log_mel(x: np.ndarray, rate: int = RATE, mels: int = 80, window_ms: float = 25, hop_ms: float = 10, mean: np.ndarray | None = None, std: np.ndarray | None = None) -> np.ndarray | None:
-    """log-mel features in dB below the maximum, a power window (0.5 - 0.5 cos) ** 0.85, mean subtracted or globally
-    normalised; None for fewer than twenty frames."""
+def log_mel(x: np.ndarray, rate: int = RATE, mels: int = 80, window_ms: float = 25, hop_ms: float = 10, mean: np.ndarray | None = None, std: np.ndarray | None = None, snip_edges: bool = True) -> np.ndarray | None:
+    """log-mel features in dB below the maximum, a power window (0.5 - 0.5 cos) ** 0.85 in the middle of the transform's length,
+    mean subtracted or globally normalised; None for fewer than twenty frames. Without ``snip_edges`` frames are centred at the hops
+    and the ends are mirrored."""
     width, hop = (max(1, round(rate * ms / 1000)) for ms in (window_ms, hop_ms))
-    if len(x) < width + 19 * hop:
-        return None
     n_fft = 1 << (width - 1).bit_length()
-    shape = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / (width - 1))) ** 0.85
-    rows = np.lib.stride_tricks.sliding_window_view(x, width)[::hop] * shape
+    if not snip_edges and len(x) > n_fft // 2:
+        x = np.pad(x, n_fft // 2, mode="reflect")
+    if len(x) < n_fft + 19 * hop:
+        return None
+    shape = np.zeros(n_fft)
+    left = (n_fft - width) // 2
+    shape[left : left + width] = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / max(1, width - 1))) ** 0.85
+    rows = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * shape
     power = np.abs(np.fft.rfft(rows, n_fft)) ** 2 @ mel_filters(rate, n_fft, mels).T
-    db = np.nan_to_num(10 * np.log10(np.maximum(power, 1e-10) / max(power.max(), 1e-10)), nan=-80.0, posinf=80.0, neginf=-80.0)
-    db = np.maximum(db, -80.0)
-    return (db - mean) / (std + 1e-6) if mean is not None and std is not None else db - db.mean(axis=0)
+    db = 10 * np.log10(np.maximum(power, 1e-10)) - 10 * np.log10(max(power.max(), 1e-10))
+    db = np.nan_to_num(np.maximum(db, db.max() - 80), posinf=80.0, neginf=-80.0)
+    return (db - mean) / (std + 1e-8) if mean is not None and std is not None else db - db.mean(axis=0)
 
 
 def instance_normalised(x: np.ndarray) -> np.ndarray:
@@ -141,3 +149,31 @@ def energy_activity(recorded: DataFrame, window: int, hop: int, above_db: float
     runs = loud.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_hit")
     spans = runs.groupBy("session", "_run").agg((F.min("start") / rate).alias("a"), (F.max("_end") / rate).alias("b"))
     return spans.where(F.col("b") - F.col("a") >= least).select("session", "a", "b")
+
+
+def segment_samples(recorded: DataFrame, activity: DataFrame, least: float = 0.3, rate: int = RATE) -> DataFrame:
+    """Recordings and activity (session, a, b in seconds) -> session, a, b, samples of every interval that holds ``least``
+    seconds of sound; intervals are cut at the recording's end, empty ones go. A hot session's intervals go to its recording as one list."""
+    spans = activity.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_spans"))
+    each = recorded.join(spans, "session").select("session", "samples", F.inline("_spans"))
+    start, stop = (F.col(c) * rate for c in ("a", "b"))
+    start, stop = (x.cast("bigint") for x in (start, stop))  # whole samples, cut off and not rounded
+    n = F.least(stop, F.size("samples").cast("bigint")) - start
+    held = each.withColumns({"_start": start, "_n": n}).where((F.col("_n") > 0) & (F.col("_n") >= int(least * rate)))
+    return held.select("session", "a", "b", F.slice("samples", (F.col("_start") + 1).cast("int"), F.col("_n").cast("int")).alias("samples"))
+
+
+def read_posteriors(spark: SparkSession, path: str) -> DataFrame:
+    """(session, i, t, p, duration) of the .npz files under a path, with the arrays frame_times and spk_probs; without a
+    duration_sec the last frame's time stands for it. An array file is one recording and goes to one task."""
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".npz"))
+
+    def run(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                with np.load(io.BytesIO(bytes(content))) as held:
+                    t, p = held["frame_times"].astype(np.float32).astype(float), held["spk_probs"].astype(np.float32).astype(float)
+                    last = float(t[-1]) if len(t) else 0.0
+                    yield pd.DataFrame({"session": name, "i": np.arange(len(t)), "t": t, "p": pd.Series(list(p), dtype=object), "duration": float(held["duration_sec"]) if "duration_sec" in held else last})
+
+    return files.select("path", "content").mapInPandas(run, "session string, i long, t double, p array<double>, duration double")

@@ -71,3 +71,41 @@ def interval_report(intervals: DataFrame, label: str) -> DataFrame:
     listed = F.transform(F.sort_array(F.collect_list("_line")), lambda x: x["b"])
     head = F.format_string("=== Misclassified intervals (%s) ===\n  count : %d\n  total : %.1f sec\n", F.lit(label), F.count("*"), F.sum(F.col("t1") - F.col("t0")))
     return rows.groupBy(SESSION).agg(F.concat(head, F.array_join(listed, "\n")).alias("report"))
+
+
+def write_posteriors(frames: DataFrame, path: str) -> None:
+    """K8: frames (session, i, t, p) as Parquet, in single precision, each with its session's last time as ``duration``."""
+    last = frames.groupBy(SESSION).agg(F.max("t").cast("float").alias("duration"))
+    kept = frames.select(SESSION, "i", F.col("t").cast("float").alias("t"), F.col("p").cast("array<float>").alias("p"))
+    kept.join(last, SESSION).write.mode("errorifexists").parquet(path)
+
+
+def upper_bound_report(pairs: DataFrame, mapping: DataFrame, hz: float) -> DataFrame:
+    """(session, report) of the best possible accuracy: pairs (session, gold, pred, seconds) with the roles GUEST and HOST,
+    mapping (session, cluster, role)."""
+    of = lambda g, p: F.coalesce(F.sum(F.when((F.col("gold") == g) & (F.col("pred") == p), F.col("seconds"))), F.lit(0.0))
+    sums = pairs.groupBy(SESSION).agg(of("GUEST", "GUEST").alias("gg"), of("GUEST", "HOST").alias("gh"), of("HOST", "GUEST").alias("hg"), of("HOST", "HOST").alias("hh"))
+    named = F.format_string("cluster_%d→%d (%s)", F.col("cluster").cast("int"), (F.col("role") == "HOST").cast("int"), "role")
+    listed = mapping.groupBy(SESSION).agg(F.sort_array(F.collect_list(F.struct("cluster", named.alias("b")))).alias("m"))
+    share = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0.0)), F.lit(0.0))
+    gg, gh, hg, hh = (F.col(c) for c in ("gg", "gh", "hg", "hh"))
+    total = gg + gh + hg + hh
+    # The report's lines.
+    lines = [
+        F.lit("=== CampPlus Upper-Bound Oracle (frame-wise, argmax(spk_probs)) ==="),
+        F.format_string("- Frame step        : %.3f sec (%.1f Hz)", F.lit(1 / hz), F.lit(float(hz))),
+        F.format_string("- Total frames      : %d  (%.1f sec)", F.round(total * hz).cast("long"), total),
+        F.concat(F.lit("- Best cluster→role mapping (0=GUEST, 1=HOST): "), F.coalesce(F.array_join(F.transform("m", lambda x: x["b"]), ", "), F.lit(""))),
+        F.lit(""),
+        F.format_string("Upper-bound accuracy: %.4f", share(gg + hh, total)),
+        F.lit(""),
+        F.lit("Confusion matrix (durations in seconds)"),
+        F.lit("  gold\\pred   GUEST       HOST"),
+        F.format_string("  GUEST     %8.1f  %8.1f", gg, gh),
+        F.format_string("  HOST      %8.1f  %8.1f", hg, hh),
+        F.lit(""),
+        F.lit("Per-role accuracy (by gold role)"),
+        F.format_string("  GUEST: %.4f  (correct %.1fs / total %.1fs)", share(gg, gg + gh), gg, gg + gh),
+        F.format_string("  HOST : %.4f  (correct %.1fs / total %.1fs)", share(hh, hg + hh), hh, hg + hh),
+    ]
+    return sums.join(listed, SESSION, "left").select(SESSION, F.array_join(F.array(*lines), "\n").alias("report"))
