@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions import numbers as N
 from voxtable.functions import text as T
+from voxtable.operators import similarity
 from voxtable.operators import aggregates as A
 from voxtable.operators import decode, folds
 from voxtable.operators import intervals as J
@@ -170,3 +171,12 @@ def test_empty_tables(spark):
     w = spark.createDataFrame([], "session long, word_idx long, word string, t0 double, t1 double")
     for out in (W.merged_timeline(s), W.merged_turns(s), folds.smoothed_segments(s), A.speaker_stats(s), J.assign_by_overlap(w, s), folds.merged_short(s)):
         assert out.count() == 0
+
+
+def test_centres_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i % 90, [float(x) for x in rng.normal(size=3)]) for i in range(100)] + [(5, [1.0, 0.0, 0.0])] * 3, "id long, v array<double>")
+    centres = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=3)]) for k in range(40)] + [(k, [0.5, 0.5, 0.5]) for k in (40, 41)], "label long, c array<double>")
+    whole = similarity.assigned(vectors, centres, "label").collect()
+    cut = similarity.assigned(vectors, centres, "label", few=4).collect()
+    assert len(whole) == 103 and sorted(map(str, whole)) == sorted(map(str, cut))

@@ -17,14 +17,26 @@ def centroids(vectors: DataFrame, label: str) -> DataFrame:
     return listed.select(label, l2_normalise(F.col("e.m")).alias("c"))
 
 
-def assigned(vectors: DataFrame, centres: DataFrame, label: str) -> DataFrame:
-    """Vectors with the most similar centre, the lowest label of equal ones. The centres are one array in
-    one row, as many as there are clusters, and are held against each vector as a literal."""
-    rows = sorted(centres.select(label, "c").collect())  # one a cluster
-    table = F.array(*[F.struct(F.lit(r[0]).alias("l"), F.array(*map(F.lit, r[1])).alias("c")) for r in rows])
+def _best(table):
     scores = F.transform(table, lambda r: F.struct(dot(F.col("v"), r["c"]).alias("s"), (-r["l"]).alias("back")))
-    best = F.array_max(scores)
-    return vectors.withColumn("_b", best).withColumns({"assigned": -F.col("_b.back"), "score": F.col("_b.s")}).drop("_b")
+    return F.array_max(scores)
+
+
+def assigned(vectors: DataFrame, centres: DataFrame, label: str, few: int = 256) -> DataFrame:
+    """Vectors with the most similar centre, the lowest label of equal ones. Up to ``few`` centres, at most few + 1 of which are
+    collected, are held against each vector as a literal. More of them are dealt by hash to blocks of about ``few``, a row each: a vector
+    meets every block, and the best of its blocks' best stays. Both ways give the same rows."""
+    rows = centres.select(label, "c").limit(few + 1).collect()
+    if len(rows) <= few:
+        best = _best(F.array(*[F.struct(F.lit(r[0]).alias("l"), F.array(*map(F.lit, r[1])).alias("c")) for r in sorted(rows)]))
+        return vectors.withColumn("_b", best).withColumns({"assigned": -F.col("_b.back"), "score": F.col("_b.s")}).drop("_b")
+    n = -(-centres.count() // few)
+    blocks = centres.groupBy(F.pmod(F.xxhash64(label), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct(F.col(label).alias("l"), "c")).alias("_t"))
+    dealt = vectors.select(F.struct("*").alias("_row"), "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_block"))
+    each = dealt.join(blocks, "_block").select("_row", _best(F.col("_t")).alias("_b"))
+    # equal rows meet each block as often as they repeat
+    best = each.groupBy("_row").agg(F.max("_b").alias("_b"), (F.count(F.lit(1)) / F.lit(blocks.count())).cast("int").alias("_times"))
+    return best.select("_row.*", (-F.col("_b.back")).alias("assigned"), F.col("_b.s").alias("score"), F.explode(F.sequence(F.lit(1), "_times"))).drop("col")
 
 
 def block_pairs(vectors: DataFrame, block: int = 512) -> DataFrame:
