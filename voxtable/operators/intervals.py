@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 SESSION = "session"
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` for joins by shuffle and sort. Spark's estimate of sizes leaves out what explode adds, so that it would broadcast frames by the million."""
+    return df.hint("merge")
+
+
 def buckets(t0: Column, t1: Column, width: float) -> Column:
     return F.sequence(F.floor(t0 / width), F.floor(t1 / width))
 
@@ -191,12 +196,12 @@ def clamp_to_words(segments: DataFrame, words: DataFrame) -> DataFrame:
 
 def chunk_means_or_nearest(chunks: DataFrame, frames: DataFrame, hz: float, value: str = "vad") -> DataFrame:
     """As J3; a chunk without frames takes the value of the frame nearest to its centre."""
-    hit = frames_within(chunks, hz, closed=False).join(frames.select(SESSION, "i", value), [SESSION, "i"])
+    hit = frames_within(chunks, hz, closed=False).join(by_merge(frames.select(SESSION, "i", value)), [SESSION, "i"])
     mean = hit.groupBy(SESSION, "chunk_idx").agg(F.avg(value).alias("score"))
-    every = chunks.join(mean, [SESSION, "chunk_idx"], "left")
+    every = chunks.join(by_merge(mean), [SESSION, "chunk_idx"], "left")
     lone = every.where("score is null").select(SESSION, "chunk_idx", "t0", "t1", ((F.col("t0") + F.col("t1")) / 2).alias("t"))
     near = nearest(lone, frames.select(SESSION, "t", F.col("i").alias("idx"))).join(
-        frames.select(SESSION, F.col("i").alias("nearest"), F.col(value).alias("score")), [SESSION, "nearest"], "left"
+        by_merge(frames.select(SESSION, F.col("i").alias("nearest"), F.col(value).alias("score"))), [SESSION, "nearest"], "left"
     )
     return every.where("score is not null").select(SESSION, "chunk_idx", "score").unionByName(near.select(SESSION, "chunk_idx", F.coalesce("score", F.lit(0.0)).alias("score")))
 

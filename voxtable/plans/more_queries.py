@@ -37,7 +37,7 @@ def j3b(spark, d):
     c = n.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     short = c.select("session", "chunk_idx", (F.col("chunk_idx") * 0.7).alias("t0"), (F.col("chunk_idx") * 0.7 + 0.2).alias("t1"))
     f = S.frames(spark, d)
-    out = J.chunk_means_or_nearest(short.join(f.select("session").distinct(), "session", "left_semi"), f, HZ)
+    out = J.chunk_means_or_nearest(short.join(J.by_merge(f.select("session").distinct()), "session", "left_semi"), f, HZ)
     return rounded(out, "score")
 
 
