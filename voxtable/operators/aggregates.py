@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import by_merge
+
 SESSION = "session"
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -56,10 +58,10 @@ def mass_fractions(labelled: DataFrame, label: str = "label") -> DataFrame:
 def segment_confidence(segments: DataFrame, frames: DataFrame, hz: float, index: Column) -> DataFrame:
     """Mean probability of the segment's own speaker over its frames [left(t0), right(t1)), one frame at least."""
     last = frames.groupBy(SESSION).agg(F.max("i").alias("_last"))
-    spans = segments.withColumn("_k", index).join(last, SESSION)
+    spans = segments.withColumn("_k", index).join(by_merge(last), SESSION)
     first = F.least(F.ceil(F.col("t0") * hz), F.col("_last"))
     stop = F.greatest(F.least(F.ceil(F.col("t1") * hz) - 1, F.col("_last")), first)
-    hit = spans.withColumn("i", F.explode(F.sequence(first, stop))).join(frames.select(SESSION, "i", "p"), [SESSION, "i"])
+    hit = spans.withColumn("i", F.explode(F.sequence(first, stop))).join(by_merge(frames.select(SESSION, "i", "p")), [SESSION, "i"])
     return hit.groupBy(SESSION, "seg_idx").agg(F.avg(F.get("p", F.col("_k"))).alias("confidence"))
 
 
