@@ -7,7 +7,7 @@ from voxtable.plans import catalog
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["J3b_chunk_or_nearest"])
+@pytest.mark.parametrize("name", ["A6_segment_confidence", "J3b_chunk_or_nearest"])
 def test_frames_are_not_broadcast(spark, name):
     df = catalog.queries()[name](spark, DATA)
     df.collect()
