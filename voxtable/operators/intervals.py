@@ -61,9 +61,9 @@ def frames_within(spans: DataFrame, hz: float, closed: bool = True) -> DataFrame
 
 def chunk_means(chunks: DataFrame, frames: DataFrame, hz: float, value: str = "vad") -> DataFrame:
     """Chunks (session, chunk_idx, t0, t1) with the mean of ``value`` over frames in [t0, t1), 0 without any."""
-    hit = frames_within(chunks, hz, closed=False).join(frames.select(SESSION, "i", value), [SESSION, "i"])
+    hit = frames_within(chunks, hz, closed=False).join(by_merge(frames.select(SESSION, "i", value)), [SESSION, "i"])
     mean = hit.groupBy(SESSION, "chunk_idx").agg(F.avg(value).alias("score"))
-    return chunks.join(mean, [SESSION, "chunk_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return chunks.join(by_merge(mean), [SESSION, "chunk_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def word_costs(words: DataFrame, frames: DataFrame, hz: float, default: float = 1.0) -> DataFrame:
