@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import touching
+from .intervals import by_merge, touching
 
 SESSION = "session"
 
@@ -181,7 +181,7 @@ def peaks(frames: DataFrame, value: str, least: float, most: int) -> DataFrame:
 
 def events_with_precedence(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
     """Rows of ``first`` (session, i, kind) and those of ``second`` at other frames; the earliest ``most``."""
-    both = first.unionByName(second.join(first.select(SESSION, "i"), [SESSION, "i"], "left_anti"))
+    both = first.unionByName(second.join(by_merge(first.select(SESSION, "i")), [SESSION, "i"], "left_anti"))
     return both.withColumn("rank", F.row_number().over(by("i"))).where(F.col("rank") <= most)
 
 
