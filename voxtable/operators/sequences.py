@@ -115,7 +115,7 @@ def smoothed_islands(frames: DataFrame, label: str, longest: float = 1.0) -> Dat
     before, after = F.lag("_own").over(w), F.lead("_own").over(w)
     island = (before == after) & (F.col("_b") - F.col("_a") <= longest)
     fixed = spans.select(SESSION, "run", F.when(island, before).otherwise(F.col("_own")).alias("smoothed"))
-    return marked.join(fixed, [SESSION, "run"]).drop("run")
+    return marked.join(by_merge(fixed), [SESSION, "run"]).drop("run")
 
 
 def onset_distances(frames: DataFrame, speech: Column) -> DataFrame:
