@@ -7,7 +7,7 @@ from voxtable.plans import catalog
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["A6_segment_confidence", "J3_chunk_frame_mean", "J3b_chunk_or_nearest", "O6_event_union", "W7a_islands"])
+@pytest.mark.parametrize("name", ["A6_segment_confidence", "J3_chunk_frame_mean", "J3b_chunk_or_nearest", "O6_event_union", "P3_speech_gated_chunks", "W7a_islands"])
 def test_frames_are_not_broadcast(spark, name):
     df = catalog.queries()[name](spark, DATA)
     df.collect()
