@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def scaled_round(x: Column, digits: int) -> Column:
+    """x rounded as DuckDB does it: scaled as a double, to the nearest whole number, halves away from 0, and scaled back; 0 keeps its
+    sign. Spark's own rounding goes by the decimal digits, so that 64.3109375 * 1e6 = 64310937.49999999 would go up."""
+    scale = F.lit(10.0**digits)
+    scaled = F.abs(x) * scale
+    return F.when(scaled < float("inf"), F.signum(x) * F.round(scaled) / scale).otherwise(x)
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

@@ -220,7 +220,7 @@ def a26(spark, d):
 @query("F1_l2norm", f"{HV} SELECT vec_id, [round(x * 3 / greatest(sqrt(list_dot_product(v, v)) * 3, 1e-8), 5) FOR x IN v] AS u FROM vec")
 def f1(spark, d):
     scaled = F.transform("v", lambda x: x * 3)
-    return S.vectors(spark, d).select("vec_id", F.transform(V.l2_normalise(scaled), lambda x: F.round(x, 5)).alias("u"))
+    return S.vectors(spark, d).select("vec_id", F.transform(V.l2_normalise(scaled), lambda x: N.scaled_round(x, 5)).alias("u"))
 
 
 def _listed(c):
