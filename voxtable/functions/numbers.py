@@ -15,7 +15,7 @@ def scaled_round(x: Column, digits: int) -> Column:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return scaled_round(F.col(c) if isinstance(c, str) else c, 6)
 
 
 def clamp(x: Column, low, high) -> Column:
