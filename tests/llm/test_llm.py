@@ -598,6 +598,30 @@ def test_passages_across_and_within_lines(spark):
     assert clean[1] == texts[1].replace(f" {within}", "") and clean[2] == texts[2].replace(f"{across}\n", "")
 
 
+def test_passage_windows_leave_in_portions(spark, monkeypatch):
+    """What a worker holds of the windows does not follow the number of texts in a frame."""
+    taken, kind = [], type(spark.range(0))
+    monkeypatch.setattr(kind, "mapInPandas", lambda df, f, *rest, real=kind.mapInPandas: taken.append(f) or real(df, f, *rest))
+    empty = [spark.createDataFrame([], x) for x in ("doc long, doc_id long, doc_key long, text string", "doc long, pos int, line int, h long", "doc long, line int, near boolean")]
+    assert paragraphs.passages(*empty).count() == 0 and len(taken) == 1
+    rng = random.Random(8)
+    texts = [prose(rng, 40 if i % 50 == 0 else 500) for i in range(600)]
+    frame = pd.DataFrame({"id": [str(i) for i in range(600)], "doc_key": range(600), "text": texts, "hits": [[*range(t.count(" ") - 24)] for t in texts]}).assign(gone=None, near=None)
+    out = list(taken[0](iter([frame])))
+    assert len(out) > 1 and max(map(len, out)) <= 1 << 17
+    alone = [x for i in range(600) for x in taken[0](iter([frame[i : i + 1]]))]
+    pd.testing.assert_frame_equal(pd.concat(out, ignore_index=True), pd.concat(alone, ignore_index=True))
+
+
+def test_texts_are_cut_once(spark):
+    """Cut twice in a plan, each task of the stage holds two Python workers, which stay."""
+    line = prose(random.Random(9), 60)
+    out = paragraphs.remove(awkward(spark, line, f"a\n{line}"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in out.collect()}[1] == "a"
+
+
 def test_passages_against_brute_force(spark, docs):
     few = docs.head(120)
     grams, size = {}, 50

@@ -37,6 +37,8 @@ from .neardup import PairChecker, candidate_components, into_blocks, text_key, v
 from .shingles import Words, anchors, band_keys, minhash_runs, portions, rolling_hashes, tune_bands, window_hashes, word_hashes, word_spans
 
 SIZE, THRESHOLD, MISS, LANES, TOLERANCE, BLOCK, MIN_WORDS = 5, 0.8, 1e-3, 20, 1e-6, 256, 50
+#: Windows of passages that leave a Python worker at once; a longer text's leave alone.
+PORTION = 1 << 17
 
 
 PARAGRAPH = "line int, start long, end long, n_words int, key binary, bands array<bigint>"
@@ -169,6 +171,13 @@ def _windows_of(text: str, size: int, hits: list[int], gone: list[int], near: li
     return [at, found, points[starts[at]], points[ends[at + size - 1] - 1] + 1, line[at], source[at]]
 
 
+def _as_frame(ids: list[str], doc_keys: list[int], parts: list[list[np.ndarray]]) -> pd.DataFrame:
+    """The windows of several texts as one frame."""
+    times = [len(x[0]) for x in parts]
+    values = dict(zip(("pos", "h", "start", "end", "line", "source"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+    return pd.DataFrame({"id": np.repeat(np.array(ids, object), times), "doc_key": np.repeat(doc_keys, times), **values})
+
+
 def _number() -> Column:
     """A number of a row's doc_id and text."""
     return F.xxhash64("doc_id", "doc_key")
@@ -202,21 +211,24 @@ def passages(held: DataFrame, anchored: DataFrame, lines: DataFrame, size: int =
     hits = left.groupBy("doc").agg(F.collect_set("pos").alias("hits"))
     cuts = lines.groupBy("doc").agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
     noted = spool(hits.join(cuts, "doc", "left"))
-    columns = ["pos", "h", "start", "end", "line", "source"]
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, doc_keys, parts = [], [], []
+            ids, doc_keys, parts, many = [], [], [], 0
             for i, key, text, at, gone, near in zip(*(frame[c] for c in ("id", "doc_key", "text", "hits", "gone", "near")), strict=True):
                 made = _windows_of(text, size, at, [] if gone is None else gone, [] if near is None else near)
-                if made is not None:
-                    ids.append(i)
-                    doc_keys.append(key)
-                    parts.append(made)
+                if made is None:
+                    continue
+                # memory follows PORTION and the longest text, not the number of texts in a frame
+                if parts and many + len(made[0]) > PORTION:
+                    yield _as_frame(ids, doc_keys, parts)
+                    ids, doc_keys, parts, many = [], [], [], 0
+                ids.append(i)
+                doc_keys.append(key)
+                parts.append(made)
+                many += len(made[0])
             if parts:
-                times = [len(x[0]) for x in parts]
-                values = map(np.concatenate, zip(*parts, strict=True))
-                yield pd.DataFrame({"id": np.repeat(np.array(ids, object), times), "doc_key": np.repeat(doc_keys, times), **dict(zip(columns, values, strict=True))})
+                yield _as_frame(ids, doc_keys, parts)
 
     texts = held.select(F.col("doc_id").cast("string").alias("id"), "doc_key", "doc", "text").join(noted.hint("merge"), "doc")
     made = texts.mapInPandas(windows, "id string, doc_key long, pos int, h long, start int, end int, line int, source boolean")
@@ -360,6 +372,10 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
+# else Spark copies the call into the filter on its result, and each task cuts twice, in two Python workers at once
+_cut = _cut.asNondeterministic()
+
+
 def remove(docs: DataFrame, **options) -> DataFrame:
     """docs with the removed paragraphs and passages cut out of their texts. A document left without a word goes."""
     gone = spool(
